@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .urlfilter import OP10_SQL, op10_url_filters
 from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filters": OP10_SQL,
+}
