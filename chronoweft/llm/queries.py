@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .urlfilter import OP10_SQL, op10_url_filters
 from .pii import op4_pii
+from .sentencepiece_codec import op3_sentencepiece_encode_decode
 from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_url_filters": op10_url_filters,
+    "op3_sentencepiece_encode_decode": op3_sentencepiece_encode_decode,
     "op4_pii": op4_pii,
 }
 
