@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .urlfilter import OP10_SQL, op10_url_filters
+from .mixing import op5_mixing
 from .pii import op4_pii
 from .quality import op2_quality_classifier
 from .sentencepiece_codec import op3_sentencepiece_encode_decode
 from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_url_filters": op10_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
