@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .urlfilter import OP10_SQL, op10_url_filters
 from .ann import op7_nearest_neighbours
+from .embdedup import op6_embedding_near_dedup
 from .mixing import op5_mixing
 from .pii import op4_pii
 from .quality import op2_quality_classifier
@@ -12,6 +13,7 @@ from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_url_filters": op10_url_filters,
