@@ -25,9 +25,8 @@ MARK = "\u2581"
 #: Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters of text that are encoded at a time, and threads of a task.
+#: Characters of text that are encoded at a time.
 SLICE_CHARS = 1 << 20
-THREADS = 2
 
 
 @dataclass
@@ -153,21 +152,73 @@ def build(m: Model):
     return t
 
 
-_codecs: dict[bytes, tuple] = {}
+class Codec:
+    """A model ready for batches of texts.
 
+    Where the normaliser does no more than set markers for spaces, they are set
+    by ``str.replace`` ahead of the library; it is the same text, and cheaper.
+    Decoding joins the pieces' bytes; only where a byte piece leaves something
+    that isn't UTF-8 does the library decode, to place its replacement marks.
+    """
 
-def codec(blob: bytes):
-    """(tokenizer, SentencePiece processor) of a model's bytes; built once in a worker."""
-    if blob not in _codecs:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    def __init__(self, blob: bytes):
         import sentencepiece
 
+        m = parse(blob)
+        self.tokenizer = build(m)
+        self.reference = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        self.prefix = m.add_dummy_prefix
+        self.plain = m.escape_whitespaces and not m.charsmap and not m.remove_extra_whitespaces
+        if self.plain:
+            from tokenizers import normalizers
+
+            self.tokenizer.normalizer = normalizers.Sequence([])
+        piece = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+        self.bytes_of = piece.__getitem__
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.plain:
+            head = MARK if self.prefix else ""
+            texts = [head + t.replace(" ", MARK) if t else t for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        out = []
+        for x in ids:
+            made = b"".join(map(self.bytes_of, x))
+            if self.prefix and made[:1] == b" ":
+                made = made[1:]
+            try:
+                out.append(made.decode())
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x, skip_special_tokens=False))
+        return out
+
+    def same_text(self, texts: list[str], decoded: list[str]) -> list[bool]:
+        """Whether the decoded texts are the normalised ones."""
+        if not self.plain:
+            texts = [self.reference.decode(self.reference.encode(t)) for t in texts]
+        return [t == d or t.replace(MARK, " ") == d for t, d in zip(texts, decoded)]
+
+
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec(blob: bytes, threads: int = 1) -> Codec:
+    """The codec of a model's bytes; built once in a worker, with a library pool of ``threads``."""
+    if blob not in _codecs:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
         _codecs.clear()
-        _codecs[blob] = build(parse(blob)), sentencepiece.SentencePieceProcessor(model_proto=blob)
+        _codecs[blob] = Codec(blob)
     return _codecs[blob]
 
 
+def threads_of(docs: DataFrame) -> int:
+    """Threads of a task's library pools: ``spark.task.cpus``, two at least."""
+    return max(2, int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
+
+
 def slices(texts: list[str], most: int = SLICE_CHARS):
     """Bounds of runs of texts with about ``most`` characters each."""
     at = size = 0
@@ -190,8 +241,8 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", verify: bool
 
     ``model`` is a path that the driver reads; its bytes travel with the task.
     With ``verify``, ``parity`` says whether the ``sentencepiece`` library gives
-    the same ids, ``round_trip`` whether decoding the ids gives what that library
-    decodes from its own; without, both are null.  Null texts count as empty:
+    the same ids, ``round_trip`` whether decoding the ids gives the normalised
+    text; without, both are null.  A task's library threads follow ``spark.task.cpus``, two at least.  Null texts count as empty:
     no ids.  Rows that repeat stay, other columns are carried along, and where
     they have one of the new names the new column is numbered.
     """
@@ -205,19 +256,21 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", verify: bool
     for n, kind in zip(names, (T.IntegerType(), T.ArrayType(T.IntegerType()), T.BooleanType(), T.BooleanType())):
         schema = schema.add(n, kind)
 
+    threads = threads_of(docs)
+
     def run(batches):
-        tokenizer, sp = codec(blob.value)
+        c = codec(blob.value, threads)
         for b in batches:
             texts = [t or "" for t in b.column(len(keep)).to_pylist()]
             ids, parity, back = [], [], []
             for i, j in slices(texts):
                 some = texts[i:j]
-                got = [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                got = c.encode(some)
                 ids.append(pa.array(got, pa.list_(pa.int32())))
                 if verify:
-                    want = sp.encode(some, num_threads=THREADS)
+                    want = c.reference.encode(some, num_threads=threads)
                     parity += [x == y for x, y in zip(got, want)]
-                    back += [x == y for x, y in zip(tokenizer.decode_batch(got, skip_special_tokens=False), sp.decode(want))]
+                    back += c.same_text(some, c.decode(got))
                 else:
                     parity += [None] * (j - i)
                     back += [None] * (j - i)
@@ -239,11 +292,13 @@ def decode(tokens: DataFrame, model: str = MODEL, ids: str = "ids", text: str =
     name = fresh(keep, text)
     schema = tokens.select(*keep).schema.add(name, "string")
 
+    threads = threads_of(tokens)
+
     def run(batches):
-        tokenizer, _ = codec(blob.value)
+        c = codec(blob.value, threads)
         for b in batches:
             lists = b.column(len(keep)).to_pylist()
-            made = tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
+            made = c.decode([x or [] for x in lists])
             made = [None if x is None else t for x, t in zip(lists, made)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(made, pa.string())], names=[*keep, name])
 
