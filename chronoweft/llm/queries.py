@@ -9,6 +9,7 @@ from .mixing import op5_mixing
 from .pii import op4_pii
 from .quality import op2_quality_classifier
 from .sentencepiece_codec import op3_sentencepiece_encode_decode
+from .substrings import op1_substring_dedup
 from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_url_filters": op10_url_filters,
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece_encode_decode": op3_sentencepiece_encode_decode,
     "op4_pii": op4_pii,
