@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .token_counts import op9_token_counts
 from .urlfilter import OP10_SQL, op10_url_filters
 from .ann import op7_nearest_neighbours
 from .embdedup import op6_embedding_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
