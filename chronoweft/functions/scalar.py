@@ -13,7 +13,8 @@ def col(c) -> Column:
 
 
 def clamp01(x) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x)))
+    """Held within 0 and 1; null stays null (``least`` and ``greatest`` alone would pass over it)."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x))))
 
 
 def ramp(x, low: float, high: float) -> Column:

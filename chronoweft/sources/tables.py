@@ -38,7 +38,8 @@ def observations(spark: SparkSession, sf_dir: str, tracks: int = 40) -> DataFram
     for one supplier in seventeen; the quantity gives the confidence.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_partkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey")
+    li = li.agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")))
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     x = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double")
     jump = F.when(F.col("l_suppkey") % 17 == 0, 0.8).otherwise(0.0)
@@ -62,4 +63,5 @@ _Y_SQL = f"0.75::DOUBLE + 1.0002::DOUBLE * {_X_SQL} + (l_partkey % 11 - 5) * 0.0
 OBSERVATIONS_SQL = f"""m AS (SELECT o_custkey % 40 AS track, o_orderkey AS match_id,
   {_X_SQL} AS local_start, {_X_SQL} + 1.0::DOUBLE AS local_end,
   {_Y_SQL} AS master_start, {_Y_SQL} + 1.0::DOUBLE AS master_end, l_quantity / 50.0::DOUBLE AS confidence
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"""
+  FROM (SELECT l_orderkey, min(l_quantity) AS l_quantity, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)
+  JOIN orders ON l_orderkey = o_orderkey)"""
