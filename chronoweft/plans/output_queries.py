@@ -226,3 +226,15 @@ def calibration_pack(spark, sf_dir):
         e = series.frame_energy(m.select(F.lit(name).alias("track"), "idx", "v"), 1000, 1000).select("track", "frame", S.micro("energy").alias("energy"))
         out = e if out is None else out.unionByName(e)
     return out
+
+
+@query()
+def full_alignment(spark, sf_dir):
+    """Every stage at once: two generated recordings found again on their reference."""
+    from .alignment import AnchorSelection, Options, align
+
+    local = synthetic.program(spark, 500)
+    reference = synthetic.heard(local, lambda t: synthetic.constant(t, 0.75, 1.0), 500, 27.0)
+    both = local.select(F.lit("near").alias("track"), "idx", "v").unionByName(local.select(F.lit("soft").alias("track"), "idx", (F.col("v") * 0.5).alias("v")))
+    a = align(both, reference, Options(sample_rate=500, selection=AnchorSelection(min_anchor_count=8)))
+    return a.models.join(a.offsets.select("track", "band", "radius_reason"), "track").select("track", "band", "radius_reason", "anchor_count", S.micro("stretch_ratio").alias("stretch_ratio"), milli("offset_seconds").alias("offset_seconds"))
