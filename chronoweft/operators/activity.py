@@ -13,6 +13,8 @@ from .series import frame_energy, runs
 #: Fixed values of the strategies.
 FIXED_THRESHOLD = 0.02
 NOISE_PERCENTILE, MAD_SCALE, ENERGY_FLOOR, LEAST_MAD = 0.2, 1.0, 1e-4, 1e-3
+#: Energies this close (relatively) are equal: sums differ in their last digits with their order.
+EQUAL = 1e-9
 #: Mean energy of a run that counts as full confidence.
 FULL_ENERGY = 0.1
 
@@ -27,7 +29,7 @@ def adaptive_threshold(energies: DataFrame, track: str = "track", mad_scale: flo
     Percentiles are exact; each aggregate keeps one track's distinct energies.
     """
     floors = energies.groupBy(track).agg(F.percentile("energy", F.lit(NOISE_PERCENTILE)).alias("noise_floor"))
-    quiet = energies.join(floors, track).where(F.col("energy") <= F.col("noise_floor"))
+    quiet = energies.join(floors, track).where(F.col("energy") <= F.col("noise_floor") * (1 + EQUAL))
     centre = quiet.groupBy(track).agg(F.median("energy").alias("centre"))
     mad = quiet.join(centre, track).groupBy(track).agg(F.median(F.abs(F.col("energy") - F.col("centre"))).alias("mad"))
     level = F.col("noise_floor") + F.when(F.col("mad") < LEAST_MAD, 0.0).otherwise(F.col("mad") * mad_scale)
@@ -36,7 +38,7 @@ def adaptive_threshold(energies: DataFrame, track: str = "track", mad_scale: flo
 
 def segments(energies: DataFrame, hop: int, sample_rate: float, min_seconds: float = 0.3, full_energy: float = FULL_ENERGY, track: str = "track") -> DataFrame:
     """(track, start, end, confidence) of the runs of frames at or above ``threshold`` (a column)."""
-    found = runs(energies, F.col("energy") >= F.col("threshold"), "frame", track).groupBy(track, "run")
+    found = runs(energies, F.col("energy") >= F.col("threshold") * (1 - EQUAL), "frame", track).groupBy(track, "run")
     spans = found.agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.avg("energy").alias("mean_energy"))
     start, end = F.col("f0") * hop / F.lit(float(sample_rate)), (F.col("f1") * hop + hop) / F.lit(float(sample_rate))
     out = spans.select(track, start.alias("start"), end.alias("end"), clamp01(F.col("mean_energy") / full_energy).alias("confidence"))
