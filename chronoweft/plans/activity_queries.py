@@ -166,7 +166,7 @@ j AS (SELECT clips.track, k, v, idx, a, b FROM clips JOIN s ON s.track = clips.t
 g AS (SELECT track, k, avg(v * v) FILTER (idx >= a AND idx < b) AS sig, avg(v * v) FILTER ((idx >= a - 1 AND idx < a) OR (idx >= b AND idx < b + 1)) AS noise FROM j GROUP BY ALL)"""
 
 
-@query(f"WITH {_SNR} SELECT clips.track, clips.k, {M('20 * log10(greatest(sqrt(sig + 1e-18::DOUBLE), 1e-9::DOUBLE) / greatest(sqrt(noise + 1e-18::DOUBLE), 1e-9::DOUBLE))')} AS snr_db FROM clips LEFT JOIN g ON g.track = clips.track AND g.k = clips.k")
+@query(f"WITH {_SNR} SELECT clips.track, clips.k, {M('CASE WHEN sig IS NOT NULL AND noise IS NOT NULL THEN 20 * log10(greatest(sqrt(sig + 1e-18::DOUBLE), 1e-9::DOUBLE) / greatest(sqrt(noise + 1e-18::DOUBLE), 1e-9::DOUBLE)) END')} AS snr_db FROM clips LEFT JOIN g ON g.track = clips.track AND g.k = clips.k")
 def local_snr(spark, sf_dir):
     s = type_series(spark, sf_dir)
     clips = s.select("track").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
