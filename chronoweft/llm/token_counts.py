@@ -165,20 +165,26 @@ class Tree:
                 break
             more_leaves *= 4
         self.encoded += sum(map(len, made))
-        # leaves from where old and new meet stay; a leaf that is cut there gives its rest to the first
-        keep_from = max((leaf for begin, leaf in begins.items() if begin <= met), default=first)
-        begin = max((begin for begin in begins if begin <= met), default=0)
-        if begin < met or keep_from == first:
-            inside = b if keep_from == last else min((x for x in begins if x > begin), default=b)
-            made += old[bounds[met] : bounds[inside]]
-            keep_from += 1
-        counts = self.counter.counts(made)
-        self.parts[first] = made
-        self._set(first, sum(map(len, made)), sum(counts))
-        for leaf in range(first + 1, keep_from):
+        # Leaves from where old and new meet stay; a leaf that is cut there keeps its rest,
+        # unless it is the first one.  So no leaf grows with the number of edits behind it.
+        begin = max(x for x in begins if x <= met)
+        meet = begins[begin]
+        rest = []
+        if begin < met or meet == first:
+            inside = min((x for x in begins if x > begin), default=b)
+            rest = old[bounds[met] : bounds[inside]]
+        if meet == first:
+            made, meet = made + rest, first + 1
+        elif rest or begin < met:
+            self._put(meet, rest)
+        self._put(first, made)
+        for leaf in range(first + 1, meet):
             if self.parts[leaf]:
-                self.parts[leaf] = []
-                self._set(leaf, 0, 0)
+                self._put(leaf, [])
+
+    def _put(self, leaf: int, parts: list[str]) -> None:
+        self.parts[leaf] = parts
+        self._set(leaf, sum(map(len, parts)), sum(self.counter.counts(parts)))
 
     def text(self) -> str:
         return "".join("".join(p) for p in self.parts)
