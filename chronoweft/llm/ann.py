@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, staged
+from .common import hashed_sample, small_batches, staged
 from .vectors import lists, matrix, usable, usual_size
 
 #: Centroids of a half, vectors that the codebooks are fitted on, k-means rounds.
@@ -106,18 +106,19 @@ def pack(sizes: np.ndarray, most: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndar
     return first, parts
 
 
-def _ranked(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and distances of the ``top`` allowed rows of ``x`` nearest to one query."""
+def _ranked(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, top: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and distances of the ``top`` allowed rows of ``x`` nearest to one query; an id
+    that ``repeats`` counts once, with its nearest row."""
     at = np.flatnonzero(allowed)
     approx = (x[at] * x[at]).sum(1) - 2 * x[at] @ q
-    if len(at) > top:
+    if len(at) > top and not repeats:
         edge = np.partition(approx, top - 1)[top - 1]
         at = at[approx <= edge + 1e-9 * (1 + abs(edge) + float(q @ q))]
     d = np.sqrt(((x[at] - q) ** 2).sum(1))
     order = np.lexsort((ids[at], d))
-    # rows that repeat an id and a distance count once
-    keep = np.concatenate(([True], (ids[at][order][1:] != ids[at][order][:-1]) | (d[order][1:] != d[order][:-1]))) if len(order) else []
-    order = order[keep][:top] if len(order) else order
+    if repeats:
+        order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+    order = order[:top]
     return at[order], d[order]
 
 
@@ -151,7 +152,7 @@ def search(
     if dim == 0:
         return spark.createDataFrame([], schema)
     good = good.where(F.size("v") == dim)
-    sample = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    sample = hashed_sample(good, F.col("id"), SAMPLE).toArrow().sort_by("id")
     books = Codebooks(matrix(sample["v"], dim), centroids)
     held = spark.sparkContext.broadcast(books)
 
@@ -210,9 +211,10 @@ def search(
             q, x = matrix(asks["v"], dim), matrix(block["v"], dim)
             qid, ids, cell = asks["id"].to_numpy(), block["id"].to_numpy(), block["cell"].to_numpy()
             known, where = np.unique(cell, return_inverse=True)
+            repeats = len(np.unique(ids)) < len(ids)
             for i, cells in enumerate(asks["cells"].to_pylist()):
                 open_cells = np.isin(known, cells)
-                at, d = _ranked(q[i], x, ids, open_cells[where] & (ids != qid[i]), top)
+                at, d = _ranked(q[i], x, ids, open_cells[where] & (ids != qid[i]), top, repeats)
                 for o, value in zip(out, (np.full(len(at), qid[i]), ids[at], d)):
                     o.append(value)
         join = lambda o, kind: pa.array(np.concatenate(o) if o else [], kind)

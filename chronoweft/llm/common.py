@@ -13,7 +13,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches for Python stages hold this many rows, so that a batch of
@@ -64,6 +64,21 @@ def fresh(taken: list[str], base: str) -> str:
     return name
 
 
+def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """Rows of ``df`` with the ``n`` smallest distinct hashes of ``key``, one row for each hash.
+
+    Only hashes are sorted; the rows themselves are filtered where they lie, so no
+    task gathers more than ``n`` of them however many partitions there are.
+    """
+    h = fresh(df.columns, "h")
+    rows = df.withColumn(h, F.xxhash64(key))
+    top = rows.select(h).distinct().orderBy(h).limit(n).agg(F.max(h)).first()[0]
+    if top is None:
+        return df.limit(0)
+    one = F.min(F.struct(*df.columns)).alias("row")
+    return rows.where(F.col(h) <= top).groupBy(h).agg(one).select("row.*")
+
+
 def min_labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """For ``n`` nodes and links a-b, the smallest node each can reach."""
     root = np.arange(n) if start is None else start.copy()
