@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_staged, fresh, small_batches, staged
+from .common import drop_staged, fresh, hashed_sample, small_batches, staged
 
 #: Cells up to which raking runs on the driver and probabilities are broadcast.
 MAX_CELLS = 100_000
@@ -60,9 +60,9 @@ class Topics:
 
 
 def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """k-means by cosine on ``sample`` documents, taken by the order of their texts' hashes."""
-    picked = docs.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("o"))
-    picked = picked.where(F.col("t").isNotNull()).orderBy("o", "t").limit(sample).select("l", "t")
+    """k-means by cosine on ``sample`` distinct texts, taken by the order of their hashes."""
+    picked = docs.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    picked = hashed_sample(picked, F.col("t"), sample)
 
     def run(batches):
         for b in batches:
