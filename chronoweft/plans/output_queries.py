@@ -238,3 +238,15 @@ def full_alignment(spark, sf_dir):
     both = local.select(F.lit("near").alias("track"), "idx", "v").unionByName(local.select(F.lit("soft").alias("track"), "idx", (F.col("v") * 0.5).alias("v")))
     a = align(both, reference, Options(sample_rate=500, selection=AnchorSelection(min_anchor_count=8)))
     return a.models.join(a.offsets.select("track", "band", "radius_reason"), "track").select("track", "band", "radius_reason", "anchor_count", S.micro("stretch_ratio").alias("stretch_ratio"), milli("offset_seconds").alias("offset_seconds"))
+
+
+@query(f"""WITH {USER_SERIES_SQL}, z AS (SELECT track, max(idx) + 1 AS n, CASE WHEN track % 2 = 0 THEN 1.25::DOUBLE ELSE 0.6::DOUBLE END AS ratio FROM s GROUP BY track),
+g AS (SELECT track, n, unnest(range(greatest(1, CAST(round_even(n * ratio, 0) AS BIGINT)))) AS i, greatest(1, CAST(round_even(n * ratio, 0) AS BIGINT)) AS m FROM z),
+p AS (SELECT track, i, n, CASE WHEN m > 1 THEN i * (n - 1) / (m - 1)::DOUBLE ELSE 0.0::DOUBLE END AS p FROM g), q AS (SELECT *, least(floor(p), n - 1) AS lo, least(floor(p) + 1, n - 1) AS hi FROM p)
+SELECT q.track, q.i AS idx, {M('a.v + (least(p, n - 1) - lo) * (b.v - a.v)')} AS v FROM q JOIN s a ON a.track = q.track AND a.idx = lo JOIN s b ON b.track = q.track AND b.idx = hi""")
+def stretch_linear(spark, sf_dir):
+    from ..operators.stretch import stretched
+
+    s = user_series(spark, sf_dir)
+    ratios = s.select("track").distinct().withColumn("ratio", F.when(F.col("track") % 2 == 0, 1.25).otherwise(0.6))
+    return stretched(s, ratios).withColumn("v", S.micro("v"))
