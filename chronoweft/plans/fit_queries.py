@@ -119,12 +119,23 @@ def segment_rates(spark, sf_dir):
 _SO, _SR, _OB, _PO, _PR = 0.05, 0.01, 0.2, 1.0, 0.1
 
 
-def _filtered(spark, sf_dir):
-    s = user_series(spark, sf_dir).where("idx < 40")
+def _filtered(spark, sf_dir, whole: bool = False):
+    """States of each user's series; of its first 40 events only, as in the SQL, unless ``whole``."""
+    s = user_series(spark, sf_dir)
+    s = s if whole else s.where("idx < 40")
     rows = s.select("track", F.col("idx").cast("double").alias("t"), (F.col("v") / 1e4).alias("z"), ((F.col("v") % 10 + 1) / 11.0).alias("confidence"), F.lit(0.25).alias("first_offset"), F.lit(0.001).alias("first_rate"))
     return drift.kalman_forward(rows, _SO, _SR, _OB, _PO, _PR)
 
 
+def _states(df):
+    return df.select("track", F.col("n").cast("long").alias("n"), *(S.micro(c).alias(c) for c in ("offset", "rate", "p00", "p01", "p11")))
+
+
+def _uncertainty(df):
+    sd = F.sqrt(F.greatest("p00", F.lit(0.0))) * 1e3
+    return df.groupBy("track").agg(S.micro(F.median(sd)).alias("median_offset_std_ms"), S.micro(F.max(sd)).alias("max_offset_std_ms"))
+
+
 _KALMAN = f"""WITH RECURSIVE {USER_SERIES_SQL}, ob AS (SELECT track, CAST(idx AS BIGINT) AS n, v / 1e4 AS z, ({_OB}::DOUBLE / ((v % 10 + 1) / 11.0::DOUBLE)) ** 2 AS noise FROM s WHERE idx < 40),
 kf AS (SELECT track, n, 0.25::DOUBLE AS po, 0.001::DOUBLE AS pr, ({_PO}::DOUBLE) ** 2 AS q00, 0.0::DOUBLE AS q01, ({_PR}::DOUBLE) ** 2 AS q11,
   0.25::DOUBLE + {_PO}::DOUBLE ** 2 / ({_PO}::DOUBLE ** 2 + noise) * (z - 0.25::DOUBLE) AS o, 0.001::DOUBLE AS r, (1 - {_PO}::DOUBLE ** 2 / ({_PO}::DOUBLE ** 2 + noise)) * {_PO}::DOUBLE ** 2 AS p00, 0.0::DOUBLE AS p01, {_PR}::DOUBLE ** 2 AS p11 FROM ob WHERE n = 0
@@ -134,7 +145,12 @@ UNION ALL SELECT track, n, po, pr, q00, q01, q11, po + q00 / (q00 + noise) * (z
 
 @query(f"{_KALMAN} SELECT track, n, {M('o')} AS \"offset\", {M('r')} AS rate, {M('p00')} AS p00, {M('p01')} AS p01, {M('p11')} AS p11 FROM kf")
 def kalman_forward(spark, sf_dir):
-    return _filtered(spark, sf_dir).select("track", F.col("n").cast("long").alias("n"), *(S.micro(c).alias(c) for c in ("offset", "rate", "p00", "p01", "p11")))
+    return _states(_filtered(spark, sf_dir))
+
+
+@query()
+def kalman_forward_whole(spark, sf_dir):
+    return _states(_filtered(spark, sf_dir, whole=True))
 
 
 @query(f"""{_KALMAN}, top AS (SELECT track, max(n) AS last FROM kf GROUP BY track), gn AS (SELECT a.track, a.n, a.o, a.r, a.p00, a.p01, a.p11, b.po, b.pr, b.q00, b.q01, b.q11, b.q00 * b.q11 - b.q01 * b.q01 AS det FROM kf a JOIN kf b ON b.track = a.track AND b.n = a.n + 1),
@@ -144,13 +160,22 @@ UNION ALL SELECT g.track, g.n, o + g00 * (so - po) + g01 * (sr - pr), r + g10 *
  p01 + g00 * g10 * (s00 - q00) + (g00 * g11 + g01 * g10) * (s01 - q01) + g01 * g11 * (s11 - q11), p11 + g10 * g10 * (s00 - q00) + 2 * g10 * g11 * (s01 - q01) + g11 * g11 * (s11 - q11) FROM sm JOIN gg g ON g.track = sm.track AND g.n = sm.n - 1)
 SELECT track, n, {M('so')} AS "offset", {M('sr')} AS rate, {M('s00')} AS p00, {M('s01')} AS p01, {M('s11')} AS p11 FROM sm""")
 def rts_smooth(spark, sf_dir):
-    return drift.rts_smooth(_filtered(spark, sf_dir)).select("track", F.col("n").cast("long").alias("n"), *(S.micro(c).alias(c) for c in ("offset", "rate", "p00", "p01", "p11")))
+    return _states(drift.rts_smooth(_filtered(spark, sf_dir)))
+
+
+@query()
+def rts_smooth_whole(spark, sf_dir):
+    return _states(drift.rts_smooth(_filtered(spark, sf_dir, whole=True)))
 
 
 @query(f"""{_KALMAN} SELECT track, {M('median(sqrt(greatest(p00, 0)) * 1e3)')} AS median_offset_std_ms, {M('max(sqrt(greatest(p00, 0)) * 1e3)')} AS max_offset_std_ms FROM kf GROUP BY track""")
 def uncertainty_summary(spark, sf_dir):
-    sd = F.sqrt(F.greatest("p00", F.lit(0.0))) * 1e3
-    return _filtered(spark, sf_dir).groupBy("track").agg(S.micro(F.median(sd)).alias("median_offset_std_ms"), S.micro(F.max(sd)).alias("max_offset_std_ms"))
+    return _uncertainty(_filtered(spark, sf_dir))
+
+
+@query()
+def uncertainty_summary_whole(spark, sf_dir):
+    return _uncertainty(_filtered(spark, sf_dir, whole=True))
 
 
 # Selection ------------------------------------------------------------------------
