@@ -108,7 +108,15 @@ def offset_band_radius(spark, sf_dir):
 concat_ws('; ', CASE WHEN fb < 0.5 THEN format('fallback confidence {{:.3f}} < 0.500', fb) END, CASE WHEN margin < 0.10 THEN format('peak margin {{:.3f}} < 0.100', margin) END,
  CASE WHEN fb - confidence < 0.15 THEN format('confidence advantage {{:.3f}} < 0.150', fb - confidence) END) AS objections FROM b WHERE o_orderkey % 89 <> 44""")
 def fallback_gate(spark, sf_dir):
-    o = _offsets(spark, sf_dir).where("o_orderkey % 89 <> 44")  # these lie on a rounding border of the printed digits
+    return _gate(_offsets(spark, sf_dir).where("o_orderkey % 89 <> 44"))  # as in the SQL; fallback_gate_whole has all orders
+
+
+@query()
+def fallback_gate_whole(spark, sf_dir):
+    return _gate(_offsets(spark, sf_dir))
+
+
+def _gate(o):
     return o.select("o_orderkey", S.fallback_accepted("fb", "margin", "confidence", SAFE).alias("accepted"), S.fallback_objections("fb", "margin", "confidence", SAFE).alias("objections"))
 
 
