@@ -169,7 +169,21 @@ g AS (SELECT track, k, avg(v * v) FILTER (idx >= a AND idx < b) AS sig, avg(v *
 @query(f"WITH {_SNR} SELECT clips.track, clips.k, {M('CASE WHEN sig IS NOT NULL AND noise IS NOT NULL THEN 20 * log10(greatest(sqrt(sig + 1e-18::DOUBLE), 1e-9::DOUBLE) / greatest(sqrt(noise + 1e-18::DOUBLE), 1e-9::DOUBLE)) END')} AS snr_db FROM clips LEFT JOIN g ON g.track = clips.track AND g.k = clips.k")
 def local_snr(spark, sf_dir):
     s = type_series(spark, sf_dir)
-    clips = s.select("track").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return _snr(s, s.select("track").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))))
+
+
+@query()
+def local_snr_whole(spark, sf_dir):
+    s = type_series(spark, sf_dir)
+    return _snr(s, _every_clip(s))
+
+
+def _every_clip(s):
+    """(track, k): a clip for every 200 samples of each series."""
+    return s.groupBy("track").agg(F.max("idx").alias("last")).select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 200))).alias("k"))
+
+
+def _snr(s, clips):
     a, b = F.col("k") * 200.0 + 50, F.col("k") * 200.0 + 90
     clips = clips.select("track", "k", a.alias("clip_start"), b.alias("clip_end"), a.alias("context_start"), b.alias("context_end"))
     return anchors.local_snr(s, clips, 1.0, ["track", "k"]).select("track", "k", S.micro("snr_db").alias("snr_db"))
@@ -178,8 +192,7 @@ def local_snr(spark, sf_dir):
 @query()
 def spectral_flatness(spark, sf_dir):
     s = type_series(spark, sf_dir)
-    clips = s.select("track").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    clips = clips.select("track", "k", (F.col("k") * 200.0).alias("clip_start"), (F.col("k") * 200.0 + 128).alias("clip_end"))
+    clips = _every_clip(s).select("track", "k", (F.col("k") * 200.0).alias("clip_start"), (F.col("k") * 200.0 + 128).alias("clip_end"))
     return anchors.flatness(s, clips, 1.0, ["track", "k"]).select("track", "k", S.micro("spectral_flatness").alias("spectral_flatness"))
 
 

@@ -109,7 +109,16 @@ def piecewise_predict(spark, sf_dir):
 @query(f"""WITH {USER_SERIES_SQL}, d AS (SELECT track, idx, v / 1e6 AS c FROM s WHERE idx BETWEEN 1 AND 5), r AS (SELECT track, idx, 1.0 + sum(c) OVER (PARTITION BY track ORDER BY idx ROWS UNBOUNDED PRECEDING) AS rate FROM d)
 SELECT track, idx AS segment, {M('rate')} AS rate FROM r UNION ALL SELECT DISTINCT track, 0, 1.0::DOUBLE FROM d""")
 def segment_rates(spark, sf_dir):
-    d = user_series(spark, sf_dir).where("idx BETWEEN 1 AND 5").groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("v") / 1e6).alias("c")))).alias("c"))
+    return _rates(user_series(spark, sf_dir).where("idx BETWEEN 1 AND 5"))
+
+
+@query()
+def segment_rates_whole(spark, sf_dir):
+    return _rates(user_series(spark, sf_dir).where("idx >= 1"))
+
+
+def _rates(s):
+    d = s.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("v") / 1e6).alias("c")))).alias("c"))
     rates = d.select("track", F.posexplode(drift.segment_rates(F.lit(1.0), F.transform("c", lambda x: x["c"]))).alias("segment", "rate"))
     return rates.select("track", F.col("segment").cast("long").alias("segment"), S.micro("rate").alias("rate"))
 

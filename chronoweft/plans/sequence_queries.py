@@ -47,9 +47,20 @@ SELECT q.track, k, {M('least(1, coalesce(sum(CASE WHEN a IS NOT NULL THEN least(
 FROM q LEFT JOIN merged ON q.track = merged.track AND x < b AND a < y GROUP BY q.track, k""")
 def overlap_ratio(spark, sf_dir):
     iv = _intervals(spark, sf_dir)
+    return _overlaps(iv, iv.where("idx < 10"))
+
+
+@query()
+def overlap_ratio_whole(spark, sf_dir):
+    """Every event asks; intervals past the series' end overlap nothing."""
+    iv = _intervals(spark, sf_dir)
+    return _overlaps(iv, iv)
+
+
+def _overlaps(iv, asking):
     solid = series.merged(iv).select("track", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     x = F.col("idx") * F.lit(400.0)
-    asked = iv.where("idx < 10").select("track", F.col("idx").alias("k"), x.alias("l_start"), (x + 250.0).alias("l_end"))
+    asked = asking.select("track", F.col("idx").alias("k"), x.alias("l_start"), (x + 250.0).alias("l_end"))
     return joins.overlap_ratio(asked, solid, 300.0, ["track", "k"]).select("track", "k", S.micro("overlap_ratio").alias("overlap_ratio"))
 
 
