@@ -138,8 +138,8 @@ def local_adjust_shift(spark, sf_dir):
 # Issues and reports ----------------------------------------------------------------
 
 
-def _issues(spark, sf_dir):
-    o = observations(spark, sf_dir, 400).withColumn("master_start", F.col("master_start") + (F.col("match_id") % 13 - 6) * 0.02)
+def _issues(spark, sf_dir, every_line: bool = False):
+    o = observations(spark, sf_dir, 400, every_line).withColumn("master_start", F.col("master_start") + (F.col("match_id") % 13 - 6) * 0.02)
     models, judged = drift.fit_linear(o)
     every = o.select("track").distinct().unionByName(o.select((F.col("track") + 1000).alias("track")).where("track < 1005").distinct())
     return every, models, judged
@@ -183,7 +183,7 @@ def marker_csv(spark, sf_dir):
 
 @query()
 def track_report(spark, sf_dir):
-    every, models, judged = _issues(spark, sf_dir)
+    every, models, judged = _issues(spark, sf_dir, every_line=True)
     issues = report.distinct_issues(report.model_issues(every, models))
     return report.track_report(every, models.select("track", "anchor_count", *(milli(c).alias(c) for c in ("residual_median_ms", "residual_max_ms"))), issues)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.series import numbered
@@ -30,23 +30,31 @@ def type_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(e, "track", ["ts", "event_id"]).select("track", "idx", "v")
 
 
-def observations(spark: SparkSession, sf_dir: str, tracks: int = 40) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, tracks: int = 40, every_line: bool = False) -> DataFrame:
     """Matches (track, match_id, local_start, ..., confidence) from orders and line items.
 
     A track is a class of customers and local time the order's day number; the
     reference runs 200 ppm fast, with a scatter from the part's number and a jump
-    for one supplier in seventeen; the quantity gives the confidence.
+    for one supplier in seventeen; the quantity gives the confidence.  With
+    ``every_line`` each line item is a match, its id made of the order's key and
+    the line's place in the order; otherwise, as in the SQL, an order is one match
+    by its line 1, and orders without a line 1 have none.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey")
-    li = li.agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")))
+    li, match_id = table(spark, sf_dir, "lineitem"), F.col("o_orderkey")
+    if every_line:
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+        li = li.select("l_orderkey", "l_quantity", "l_partkey", "l_suppkey", place.alias("place"))
+        match_id = F.shiftleft(F.col("o_orderkey").cast("long"), 20) + F.col("place")
+    else:
+        li = li.where("l_linenumber = 1").groupBy("l_orderkey").agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")))
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     x = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double")
     jump = F.when(F.col("l_suppkey") % 17 == 0, 0.8).otherwise(0.0)
     y = F.lit(0.75) + F.lit(1.0002) * x + (F.col("l_partkey") % 11 - 5) * F.lit(0.004) + jump
     return j.select(
         (F.col("o_custkey") % tracks).alias("track"),
-        F.col("o_orderkey").alias("match_id"),
+        match_id.alias("match_id"),
         x.alias("local_start"),
         (x + 1.0).alias("local_end"),
         y.alias("master_start"),
