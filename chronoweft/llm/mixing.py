@@ -8,7 +8,7 @@ there are at most :data:`MAX_CELLS` of them, as a loop of aggregates and joins
 beyond that.
 
 Topics are clusters of hashed-word vectors around their language's mean, fitted
-on a bounded sample, unless the documents have a topic column of their own.
+on all texts from centres of a bounded sample, unless the documents have a topic column of their own.
 """
 
 from __future__ import annotations
@@ -27,23 +27,31 @@ from .common import drop_staged, fresh, hashed_sample, small_batches, staged
 
 #: Cells up to which raking runs on the driver and probabilities are broadcast.
 MAX_CELLS = 100_000
-#: Topics, hashed word dimensions, documents of the topic sample, k-means rounds.
+#: Topics, hashed word dimensions, documents of the sample that the centres start from, k-means rounds.
 TOPICS, DIMS, TOPIC_SAMPLE, TOPIC_ROUNDS = 8, 1024, 2000, 12
 #: Targets of the registered query: each marginal's share to this power, over
 #: half of the tokens.
 TEMPERATURE, KEEP_SHARE = 0.7, 0.5
 ROUNDS, TOLERANCE, SEED = 100, 1e-6, 17
+#: Vector values are summed in steps of one by this.
+_STEPS = 2.0**24
 MARGINS = ("source", "lang", "topic")
 
 
+def _sparse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of the unit vector of hashed word counts, damped by logarithms."""
+    c = Counter(words)
+    at = np.fromiter(map(zlib.crc32, c), np.int64, len(c)) % DIMS
+    full = np.bincount(at, 1 + np.log(np.fromiter(c.values(), np.float64, len(c))), DIMS).astype(np.float32)
+    slot = np.flatnonzero(full)
+    return slot, full[slot] / max(np.linalg.norm(full), np.float32(1e-12))
+
+
 def _vector(words: list[bytes]) -> np.ndarray:
-    """Unit vector of hashed word counts, damped by logarithms."""
+    """The same vector with all its zeros."""
     out = np.zeros(DIMS, np.float32)
-    if words:
-        c = Counter(words)
-        at = np.fromiter(map(zlib.crc32, c), np.int64, len(c)) % DIMS
-        out += np.bincount(at, 1 + np.log(np.fromiter(c.values(), np.float64, len(c))), DIMS).astype(np.float32)
-        out /= np.linalg.norm(out)
+    slot, value = _sparse(words)
+    out[slot] = value
     return out
 
 
@@ -59,35 +67,112 @@ class Topics:
         return int(np.argmax(self.centres @ z))
 
 
-def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """k-means by cosine on ``sample`` distinct texts, taken by the order of their hashes."""
-    picked = docs.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    picked = hashed_sample(picked, F.col("t"), sample)
+def vectors(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(l, h, s, w): language, hash of the text, slots and values of the vector of every row that has a text."""
+    small_batches(docs.sparkSession)
+    base = docs.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    base = base.select("l", F.xxhash64("t").alias("h"), "t")
 
     def run(batches):
         for b in batches:
-            z = [_vector(t.lower().split()).tolist() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.list_(pa.float32()))], names=["l", "z"])
+            made = [_sparse(t.lower().split()) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            slots = pa.array([x.astype(np.int16) for x, _ in made], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), slots, pa.array([x for _, x in made], pa.list_(pa.float32()))], names=["l", "h", "s", "w"])
 
-    small_batches(docs.sparkSession)
-    got = picked.mapInArrow(run, "l string, z array<float>").toArrow()
-    if not len(got):
-        return Topics(np.zeros((1, DIMS), np.float32), {None: np.zeros(DIMS, np.float32)})
-    z = got["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS)
-    langs = np.array(got["l"].to_pylist(), object)
-    order = np.lexsort((*z.T[:4], [str(x) for x in langs]))
-    z, langs = z[order], langs[order]
-    means = {None: z.mean(0)} | {name: z[langs == name].mean(0) for name in set(langs.tolist()) - {None}}
-    z = z - np.stack([means[x] for x in langs])
+    return base.mapInArrow(run, "l string, h long, s array<smallint>, w array<float>")
+
+
+def _dense(slots: pa.Array, values: pa.Array) -> np.ndarray:
+    out = np.zeros((len(slots), DIMS), np.float32)
+    row = np.repeat(np.arange(len(slots)), slots.value_lengths().to_numpy(zero_copy_only=False))
+    out[row, slots.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _centred(z: np.ndarray, langs: list, means: dict) -> np.ndarray:
+    """Unit vectors of the differences from the languages' means."""
+    z = z - np.stack([means.get(x, means[None]) for x in langs])
     norm = np.linalg.norm(z, axis=1, keepdims=True)
-    z = z / np.where(norm > 0, norm, 1)
+    return z / np.where(norm > 0, norm, 1)
+
+
+def _totals(rows: DataFrame, made) -> dict:
+    """{key: (n, sum)} over all ``rows`` of :func:`vectors`; ``made(langs, z)`` gives a batch's keys and vectors.
+
+    Each task sums its rows, then each key's sums are added up, so the driver
+    gets one row a key.  Values count in steps of 2**-24: such sums are exact,
+    whatever their order.
+    """
+
+    def merge(held, key, n, total):
+        before = held.get(key, (0, 0))
+        held[key] = before[0] + n, before[1] + total
+
+    def out(held):
+        keys = list(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1].tobytes() for k in keys], pa.binary())], names=["key", "n", "total"]
+        )
+
+    def part(batches):
+        held = {}
+        for b in batches:
+            if b.num_rows:
+                langs = b.column(0).to_pylist()
+                keys, z = made(langs, _dense(b.column(1), b.column(2)))
+                names = list(dict.fromkeys(keys))
+                number = {k: i for i, k in enumerate(names)}
+                member = np.zeros((len(names), len(keys)))
+                member[[number[k] for k in keys], np.arange(len(keys))] = 1
+                sums = (member @ np.rint(z.astype(np.float64) * _STEPS)).astype(np.int64)
+                for k, n, total in zip(names, member.sum(1).astype(int).tolist(), sums):
+                    merge(held, k, n, total)
+        yield out(held)
+
+    def join(batches):
+        held = {}
+        for b in batches:
+            for k, n, total in zip(*(b.column(i).to_pylist() for i in range(3))):
+                merge(held, k, n, np.frombuffer(total, np.int64))
+        yield out(held)
+
+    kind = "key string, n long, total binary"
+    got = rows.select("l", "s", "w").mapInArrow(part, kind).repartition("key").mapInArrow(join, kind).collect()
+    return {r.key: (r.n, np.frombuffer(bytes(r.total), np.int64) / _STEPS) for r in got}
+
+
+def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
+    """k-means by cosine over every text that is not null, around the means of all texts of its language.
+
+    Only the first centres come from ``sample`` distinct texts, taken by the
+    order of their hashes; each round then passes over all vectors.  Held on the
+    driver and broadcast: one mean for each language, and the centres.
+    """
+    every = staged(vectors(docs, text, lang), "vectors")
+    sums = _totals(every, lambda langs, z: (langs, z))
+    n = sum(x[0] for x in sums.values())
+    if not n:
+        drop_staged(every)
+        return Topics(np.zeros((1, DIMS), np.float32), {None: np.zeros(DIMS, np.float32)})
+    means = {k: (total / m).astype(np.float32) for k, (m, total) in sums.items() if k is not None}
+    means[None] = (sum(total for _, total in sums.values()) / n).astype(np.float32)
+    got = hashed_sample(every, F.col("h"), sample).toArrow()
+    langs, z = got["l"].to_pylist(), _dense(got["s"].combine_chunks(), got["w"].combine_chunks())
+    order = np.lexsort((*z.T[:4], got["h"].to_numpy(), [str(x) for x in langs]))
+    z = _centred(z[order], [langs[i] for i in order], means)
     centres = z[np.linspace(0, len(z) - 1, min(topics, len(z))).astype(int)].copy()
     for _ in range(TOPIC_ROUNDS):
-        own = np.argmax(z @ centres.T, axis=1)
-        for k in range(len(centres)):
-            if (own == k).any():
-                c = z[own == k].sum(0)
-                centres[k] = c / max(np.linalg.norm(c), 1e-12)
+
+        def nearest(langs, z, means=means, centres=centres):
+            z = _centred(z, langs, means)
+            return np.argmax(z @ centres.T, axis=1).astype(str).tolist(), z
+
+        before, centres = centres, centres.copy()
+        for k, (_, total) in _totals(every, nearest).items():
+            centres[int(k)] = total / max(np.linalg.norm(total), 1e-12)
+        if np.array_equal(before, centres):
+            break
+    drop_staged(every)
     return Topics(centres.astype(np.float32), means)
 
 
