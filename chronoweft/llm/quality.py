@@ -28,8 +28,6 @@ from .common import fresh, small_batches
 MAX_LABELLED = 4000
 #: Term space, latent dimensions, voters, and the power that sharpens similarities.
 DIMS, LATENT, NEIGHBOURS, SHARPNESS = 1 << 14, 48, 25, 4
-#: Features that a labelled document keeps at most (its most frequent terms).
-MAX_TERMS = 4096
 THRESHOLD = 0.3
 #: Rows of a block of the cosine products.
 BLOCK = 256
@@ -154,9 +152,6 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             slots, counts = [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s, c = terms(t)
-                if len(s) > MAX_TERMS:
-                    top = np.sort(np.argsort(-c, kind="stable")[:MAX_TERMS])
-                    s, c = s[top], c[top]
                 slots.append(s.astype(np.int32))
                 counts.append(c.astype(np.float32))
             yield pa.RecordBatch.from_arrays(
