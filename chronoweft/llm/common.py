@@ -3,12 +3,15 @@
 Intermediate results are cut from their lineage by writing them as Parquet
 under the shared folder that ``spark.checkpoint.dir`` names, so that a lost
 executor costs a re-read and not a recomputation.  Only where that setting is
-absent (tests, a laptop) a folder of our own is used.
+absent and executors share the driver's disk (tests, a laptop) a folder of our
+own is used.  Tables that later steps don't read are dropped as soon as they are
+done; those that a lazy result still reads go with :func:`release`.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,17 +41,22 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
+    out._tables = [path]
     return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove a table of :func:`staged` that nothing reads any more."""
-    spark = df.sparkSession
-    path = getattr(df, "_staged_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def holding(df: DataFrame, *read: DataFrame) -> DataFrame:
+    """``df``, a lazy result, with a note of the tables that it reads."""
+    df._tables = [p for x in read for p in getattr(x, "_tables", [])]
+    return df
+
+
+def release(*done: DataFrame) -> None:
+    """Remove the tables of :func:`staged` or :func:`holding` that nothing reads any more."""
+    for df in done:
+        for path in getattr(df, "_tables", []):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -64,6 +74,14 @@ def fresh(taken: list[str], base: str) -> str:
     return name
 
 
+def fresh_all(taken: list[str], *bases: str) -> list[str]:
+    """A :func:`fresh` name for each of ``bases``, all different."""
+    out: list[str] = []
+    for b in bases:
+        out.append(fresh([*taken, *out], b))
+    return out
+
+
 def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """Rows of ``df`` with the ``n`` smallest distinct hashes of ``key``, one row for each hash.
 
@@ -139,8 +157,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         nxt = staged(small, "links")
-        drop_staged(now)
+        release(now)
         now = nxt
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return holding(now.select(F.col("u").alias("node"), F.col("v").alias("root")), now)

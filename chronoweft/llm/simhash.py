@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, min_labels, small_batches, staged
+from .common import components, fresh, fresh_all, holding, min_labels, small_batches, staged
 
 SEED = 42
 SHINGLE = 4
@@ -158,6 +158,33 @@ def near_links(distinct: DataFrame, k: int = MAX_BITS) -> DataFrame:
     return keyed.repartition(parts, "key").mapInArrow(run, "u long, v long")
 
 
+#: Salts of the join that gives a component's rows its first place.
+SALTS = 16
+
+
+def _grouped(docs: DataFrame, id: str, text: str, k: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp) of every row, and for every fingerprint (fp, low): the first row of its component.
+
+    ``low`` is the smallest (no id, id, hash of the text), so rows without an id come last.
+    """
+    t = F.col(text).cast("string")
+    base = docs.select(F.col(id).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    made = staged(fingerprints(base, "text", shingle), "simhash")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
+    distinct = made.groupBy("fp").agg(F.min(place).alias("low"))
+    comp = components(near_links(distinct.select("fp"), k))
+    linked = distinct.join(comp, F.col("fp") == F.col("node"))
+    # Nodes are linked to their root; the root itself has no row in comp.
+    ends = linked.select("root", "low").unionByName(distinct.join(comp.select("root").distinct(), F.col("fp") == F.col("root")).select("root", "low"))
+    lows = ends.groupBy("root").agg(F.min("low").alias("first"))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    spread = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    moved = comp.select(F.col("node").alias("fp"), "root").unionByName(lows.select(F.col("root").alias("fp"), "root"))
+    moved = moved.withColumn("salt", salt).join(spread, ["root", "salt"]).select("fp", "first")
+    by_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("first", "low").alias("low"))
+    return made, holding(by_fp, made, comp)
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``fp`` (signed long), ``component_id``.
 
@@ -167,32 +194,35 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     stay; a null id is never a component's id unless the component has no other.
     Other columns are not read.  An empty table gives an empty result.
     """
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    made = staged(fingerprints(base, "text", shingle), "simhash")
-    distinct = made.groupBy("fp").agg(F.min("id").alias("low"))
-    comp = components(near_links(distinct.select("fp"), k))
-    rooted = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = rooted.join(lows, "root").select("fp", "component_id")
-    return made.join(by_fp, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    made, by_fp = _grouped(docs, id, text, k, shingle)
+    return holding(made.join(by_fp, "fp").select(F.col("id").alias(id), "fp", F.col("low.id").alias("component_id")), by_fp)
 
 
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the first row with its smallest id.
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with exactly one row of each component, chosen as a row and not by its id alone.
 
-    Rows whose id is null are kept.
+    It is the row with the smallest id, a null one last; of rows that repeat
+    that id the one whose text has the smallest ``xxhash64``, and of rows that
+    repeat id and text the one whose other columns, as JSON, have the smallest.
+    Null and empty texts are one component.  Columns of any name are carried
+    along.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    heads = near_duplicates(docs, id, text, k).where(F.col(id) == F.col("component_id")).select(F.col(id).alias("__head")).distinct()
-    kept = docs.join(heads, docs[id] == heads["__head"], "left_semi")
-    # ids that repeat: dropDuplicates keeps one row of each
-    once = kept.dropDuplicates([id])
-    return once.unionByName(docs.where(F.col(id).isNull()))
+    made, by_fp = _grouped(docs, id, text, k, shingle)
+    heads = by_fp.select("low.id", "low.th").distinct()
+    # how many rows a head has: only the few that repeat are gathered by id and text
+    rows = made.groupBy("id", "th").agg(F.count("*").alias("n"))
+    heads = heads.join(rows, heads["id"].eqNullSafe(rows["id"]) & (heads["th"] == rows["th"])).select(heads["id"].alias("id"), heads["th"].alias("th"), "n")
+    h, head, th, n = fresh_all(docs.columns, "h", "head", "th", "n")
+    heads = heads.select(F.col("id").alias(head), F.col("th").alias(th), F.col("n").alias(n))
+    kept = docs.withColumn(h, F.xxhash64(F.col(text).cast("string"))).join(heads, F.col(id).eqNullSafe(F.col(head)) & (F.col(h) == F.col(th)))
+    rest = [c for c in docs.columns if c not in (id, text)]
+    order = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+    one = kept.where(F.col(n) > 1).groupBy(id, h).agg(F.min_by(F.struct(*docs.columns), order).alias(head)).select(f"{head}.*")
+    return holding(kept.where(F.col(n) == 1).select(*docs.columns).unionByName(one), by_fp)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, fingerprint (16 hex digits), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = near_duplicates(docs)
+    return holding(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), found)

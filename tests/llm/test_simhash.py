@@ -78,6 +78,21 @@ def test_near_duplicates(spark):
     assert got == want
     kept = M.keep_first(df)
     assert kept.columns == df.columns
-    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
-    assert len(ids) == len(set(ids)) and (True, 0) in ids and (False, 5) not in ids and (False, 3) in ids
-    assert M.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(c for _, _, c in want))
+    assert M.near_duplicates(df.limit(0)).count() == 0 and M.keep_first(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_is_kept(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    long = " ".join(f"w{i % 977}" for i in range(120_000))
+    names = "doc_id long, text string, h string, head string, th string, n string, fp string"
+    kept = lambda rows: [tuple(r) for r in M.keep_first(spark.createDataFrame([(*r, *"vwxyz") for r in rows], names)).select("doc_id", "text").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    # an id that repeats with different texts: both texts stay
+    assert sorted(kept([(5, a), (5, b), (7, b)])) == [(5, a), (5, b)]
+    # rows that repeat wholly, ids that are null, null and empty texts, a very long text
+    rows = [(5, a), (5, a), (None, a), (None, b), (None, b), (3, None), (4, ""), (6, long), (8, long + " tail")]
+    assert sorted(kept(rows), key=key) == sorted([(5, a), (None, b), (3, None), (6, long)], key=key)
+    # of rows alike in id and text one stays whole
+    two = spark.createDataFrame([(1, a, "x", 1), (1, a, "y", 2)], "doc_id long, text string, lang string, k int")
+    assert [tuple(r)[2:] for r in M.keep_first(two).collect()] in ([("x", 1)], [("y", 2)])
