@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hashed_sample, small_batches, staged
+from .common import hashed_sample, holding, release, small_batches, staged
 from .vectors import lists, matrix, usable, usual_size
 
 #: Centroids of a half, vectors that the codebooks are fitted on, k-means rounds.
@@ -162,16 +162,38 @@ def search(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held.value.cells(x), pa.int64())], names=["id", "v", "cell"])
 
     entries = staged(good.mapInArrow(assign, "id long, v array<double>, cell long"), "entries")
-    # one row for each cell that isn't empty: at most centroids ** 2
-    sizes = np.zeros(len(books.first) * len(books.second), np.int64)
-    for r in entries.groupBy("cell").count().collect():
-        sizes[r["cell"]] = r["count"]
-    first, parts = pack(sizes, block_rows)
-    want = max(probe * sizes.sum(), top + 1)
-    plan = spark.sparkContext.broadcast((sizes, first, parts))
-    queries = entries.where(F.pmod("id", F.lit(every)) == 0)
-    n_queries = queries.count()
-    chunks = max(1, -(-n_queries // chunk))
+    # one row for each cell that isn't empty: at most centroids ** 2; ids that repeat count once in a cell
+    sizes = np.zeros((2, len(books.first) * len(books.second)), np.int64)
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).collect():
+        sizes[:, r["cell"]] = r["n"], r["ids"]
+    distinct = entries.agg(F.countDistinct("id")).first()[0]
+    plan = spark.sparkContext.broadcast((sizes[1], *pack(sizes[0], block_rows)))
+    queries = entries.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
+
+    def nearest(asking: DataFrame, want: float) -> DataFrame:
+        chunks = max(1, -(-asking.count() // chunk))
+        return _compared(entries, asking, dim, held, plan, want, chunks, top)
+
+    near = staged(nearest(queries, max(probe * sizes[1].sum(), top + 1)), "near")
+    # An id whose rows lie in several cells counts in each of them: queries that came out short visit all cells.
+    found = near.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = queries.join(found.where(F.col("n") >= min(top, distinct - 1)), F.col("id") == F.col("query_id"), "left_anti")
+    parts = [near]
+    if not short.isEmpty():
+        short = staged(short, "short")
+        parts.append(staged(nearest(short, float("inf")), "near"))
+        release(short)
+    release(entries)
+    every_part = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    # the same row may be near to two rows of one query id: the smaller distance counts
+    once = every_part.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return holding(once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"), *parts)
+
+
+def _compared(entries: DataFrame, queries: DataFrame, dim: int, held, plan, want: float, chunks: int, top: int) -> DataFrame:
+    """(query_id, vec_id, score): the ``top`` nearest of each row of ``queries`` in every block of the cells
+    that it visits until they hold ``want`` ids; ``held`` are the codebooks, ``plan`` the cells' ids and blocks."""
 
     def route(batches):
         sizes, first, parts = plan.value
@@ -220,11 +242,7 @@ def search(
         join = lambda o, kind: pa.array(np.concatenate(o) if o else [], kind)
         return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
 
-    near = asked.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    # the same row may be near to two rows of one query id: the smaller distance counts
-    once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return asked.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def op7_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
