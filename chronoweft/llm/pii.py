@@ -5,9 +5,14 @@ the other identifier-like tokens, each with the words around it.  From there on
 only these few rows travel.  The base entities are seeds of a bipartite graph of
 lexical patterns (the words around an entity) and instances (the entities'
 texts): patterns are scored by the share of their instances that are known to
-be of a kind, instances by the patterns that they appear in, in turn and for a
-fixed number of rounds.  Patterns that end with high confidence mark the
-identifiers in their slots that no expression knows.
+be of a kind, instances by the patterns that they appear in, in turn and until
+no pattern is new.  Patterns that end with high confidence mark the identifiers
+in their slots that no expression knows.  A pattern is one or two words to the
+left, one to the right, or one on either side, and each of the one-word ones
+again together with the shape of what it surrounds (digits masked).
+
+Out of reach: identifiers without a digit or an ``@``, and those whose contexts
+are no more frequent with identifiers than without.
 
 Positions come from lengths: ``split`` gives what lies between the matches that
 ``regexp_extract_all`` gives, and a running sum over both counts code points.
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh_all, holding, release, staged
 
 KINDS = ("email", "ip", "card", "phone")
 _CANDIDATE = "token"
@@ -26,18 +31,23 @@ _CANDIDATE = "token"
 #: match may start only where the text before it cannot lengthen it, or where
 #: the last match ended (\G), which is where the plain expression would start.
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: What candidates are made of: cut at white space and punctuation, then joined
+#: with the groups of digits that follow after single spaces.
+_WORD, _LETTER = r"[\p{L}\p{N}@._%+-]", r"[\p{L}._%+-]"
 _EXPRESSIONS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    _CANDIDATE: r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    _CANDIDATE: rf"(?<!{_WORD}){_LETTER}*+[0-9@]{_WORD}*+(?:\x20[0-9][0-9-]*+(?!{_WORD}))*+",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP_VALID = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _CORE = r"[\p{L}\p{N}+](?:.*[\p{L}\p{N}])?"
-#: Context kept on either side of an entity, in characters.
-_CONTEXT = 48
+#: Pieces between spaces that are looked at for context words on either side.
+_CONTEXT = 4
+#: What a text must have to be found as a kind.
+_SIGNS = {"email": "@", "ip": r"[0-9A-Fa-f]*[.:][0-9A-Fa-f]*[.:]", "card": r"(?:[0-9][^0-9]*){8}", "phone": r"(?:[0-9][^0-9]*){6}"}
 
 
 def _digits(c: Column) -> Column:
@@ -68,6 +78,7 @@ def _valid(v: Column, kind: str) -> Column:
 
 def _row(kind: str):
     """From (value, gap, next gap) and a number to (kind, i, gap, size, valid, value, left, right)."""
+    blank = lambda c: F.translate(c, "\t\n\x0b\x0c\r\u00a0", " " * 6)
 
     def row(m: Column, i: Column) -> Column:
         v, gap = m["v"], m["g"]
@@ -77,9 +88,9 @@ def _row(kind: str):
             F.length(gap).alias("gap"),
             F.length(v).alias("size"),
             _valid(v, kind).alias("valid"),
-            F.left(v, F.lit(256)).alias("value"),
-            F.right(gap, F.lit(_CONTEXT)).alias("left"),
-            F.left(m["n"], F.lit(_CONTEXT)).alias("right"),
+            v.alias("value"),
+            F.substring_index(blank(gap), " ", -_CONTEXT).alias("left"),
+            F.substring_index(blank(m["n"]), " ", _CONTEXT).alias("right"),
         )
 
     return row
@@ -113,7 +124,7 @@ def positions(found: DataFrame) -> DataFrame:
     base = rows.where((F.col("kind") != _CANDIDATE) & F.col("valid"))
     core, lead = F.regexp_extract(v, _CORE, 0), F.length(F.regexp_extract(v, r"^[^\p{L}\p{N}+]*", 0))
     cand = (
-        rows.where((F.col("kind") == _CANDIDATE) & (F.col("size") <= 128))
+        rows.where(F.col("kind") == _CANDIDATE)
         .withColumn("start", F.col("start") + lead)
         .withColumn("value", core)
         .withColumn("end", F.col("start") + F.length("value"))
@@ -129,53 +140,64 @@ def positions(found: DataFrame) -> DataFrame:
 
 
 def _patterns() -> Column:
-    """The lexical patterns of an entity: its two words to the left, and one word on either side."""
+    """The lexical patterns of an entity, ``_`` being its place: words around it, alone and with its shape."""
 
     def words(c: str) -> Column:
         return F.filter(F.split(F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
 
     left, right = words("left"), words("right")
-    one, two = F.coalesce(F.get(left, F.size(left) - 1), F.lit("^")), F.coalesce(F.get(left, F.size(left) - 2), F.lit("^"))
-    nxt = F.coalesce(F.get(right, F.lit(0)), F.lit("$"))
-    return F.array(F.concat_ws(" ", two, one, F.lit("_")), F.concat_ws(" ", one, F.lit("_"), nxt))
+    one, two = F.get(left, F.size(left) - 1), F.coalesce(F.get(left, F.size(left) - 2), F.lit("^"))
+    one, nxt = F.coalesce(one, F.lit("^")), F.coalesce(F.get(right, F.lit(0)), F.lit("$"))
+    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), r"\p{L}+", "a")
+    text = lambda *parts: F.concat_ws(" ", *parts)
+    plain = [text(two, one, F.lit("_")), text(one, F.lit("_"), nxt), text(one, F.lit("_")), text(F.lit("_"), nxt)]
+    return F.array(*plain, text(F.lit("="), one, shape), text(F.lit("="), shape, nxt))
 
 
-def discover(entity_rows: DataFrame, rounds: int = 2, min_confidence: float = 0.8, min_support: int = 3) -> DataFrame:
+def discover(entity_rows: DataFrame, min_confidence: float = 0.8, min_support: int = 3, smoothing: float = 1.0) -> DataFrame:
     """Candidates of ``positions`` that confident patterns mark: (rid, kind, start, end, score).
 
-    ``rounds`` alternations of pattern and instance scores; a pattern counts from
-    ``min_support`` distinct known instances of a kind, and if they make up
-    ``min_confidence`` of all its distinct instances.
+    Pattern and instance scores alternate until no pattern is new (known
+    instances only gain, so the confident patterns only grow in number).  A
+    pattern counts from ``min_support`` distinct known instances of a kind, and if
+    their scores make up ``min_confidence`` of all its distinct instances and
+    ``smoothing`` more.  A candidate is found as a kind only if it has its signs:
+    an ``@``, two dots or colons, eight digits, six digits.
     """
-    inst = F.lower("value")
-    occ = entity_rows.select("rid", "kind", "start", "end", inst.alias("instance"), F.explode(_patterns()).alias("pattern"))
-    occ = staged(occ, "occurrences")
-    edges = occ.groupBy("pattern", "instance").agg(F.lit(1).alias("one")).drop("one")
+    inst = F.xxhash64(F.lower("value"))
+    occ = staged(entity_rows.select("rid", "kind", "start", "end", "value", inst.alias("instance"), F.explode(_patterns()).alias("pattern")), "occurrences")
+    edges = staged(occ.select("pattern", "instance").distinct(), "edges")
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
-    seeds = occ.where(F.col("kind") != _CANDIDATE).select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    edges, seeds = staged(edges, "edges"), staged(seeds, "seeds")
-    scores, sure = seeds, None
-    for _ in range(rounds):
+    seeds = staged(occ.where(F.col("kind") != _CANDIDATE).select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "seeds")
+    known = seeds.select("instance").distinct()
+    scores, sure, confident = seeds, None, 0
+    while True:
         hits = edges.join(scores, "instance").groupBy("pattern", "kind")
         hits = hits.agg(F.sum("score").alias("hit"), F.count_if(F.col("score") >= min_confidence).alias("support"))
-        sure = (
-            hits.join(totals, "pattern")
-            .withColumn("confidence", F.col("hit") / F.col("total"))
-            .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
-            .select("pattern", "kind", "confidence")
-        )
-        sure = staged(sure, "patterns")
+        judged = hits.where(F.col("support") >= min_support).join(totals, "pattern").withColumn("confidence", F.col("hit") / (F.col("total") + smoothing))
+        now = staged(judged.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence"), "patterns")
+        if sure is not None:
+            release(sure)
+        sure, before, confident = now, confident, now.count()
+        if confident == before:
+            break
         miss = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
         grown = edges.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score"))
-        known = seeds.select("instance").distinct()
         scores = seeds.unionByName(grown.join(known, "instance", "left_anti"))
-    return (
+    fits = F.lit(False)
+    for kind, signs in _SIGNS.items():
+        fits = fits | ((F.col("as_kind") == kind) & F.col("value").rlike(signs))
+    found = (
         occ.where(F.col("kind") == _CANDIDATE)
         .join(sure.withColumnRenamed("kind", "as_kind"), "pattern")
+        .where(fits)
         .groupBy("rid", "start", "end")
         .agg(F.max(F.struct("confidence", "as_kind")).alias("b"))
         .select("rid", F.col("b.as_kind").alias("kind"), "start", "end", F.col("b.confidence").alias("score"))
     )
+    out = staged(found, "discovered")
+    release(occ, edges, seeds, sure)
+    return out
 
 
 def find(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -192,7 +214,8 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Data
     number = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     as_span = F.struct(number[F.col("kind")].alias("kind_no"), "start", "end")
     base = rows.where(F.col("kind") != _CANDIDATE).select("rid", as_span.alias("s"), F.lit(True).alias("is_base"))
-    added = discover(rows, **how).select("rid", as_span.alias("s"), F.lit(False).alias("is_base"))
+    more = discover(rows, **how)
+    added = more.select("rid", as_span.alias("s"), F.lit(False).alias("is_base"))
     spans = (
         base.unionByName(added)
         .groupBy("rid")
@@ -202,11 +225,9 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Data
         )
     )
     none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint>>")
-    return (
-        found.select("rid", "id", "h")
-        .join(spans, "rid", "left")
-        .select(F.col("id").alias(id), "h", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
-    )
+    out = found.select("rid", "id", "h").join(spans, "rid", "left")
+    out = out.select(F.col("id").alias(id), "h", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    return holding(out, found, rows, more)
 
 
 def spans_text(spans: Column) -> Column:
@@ -221,9 +242,11 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Da
     Spans that overlap become one mark, named after the first.  Rows without
     spans, and null texts, stay as they are.
     """
-    spans = find(docs, id, text, **how).where((F.size("base") > 0) | (F.size("added") > 0))
-    spans = spans.select(F.col(id).alias("__id"), F.col("h").alias("__h"), F.concat("base", "added").alias("__spans")).distinct()
-    by_place = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_no"].alias("kind_no"))))
+    found = find(docs, id, text, **how)
+    own, key, h, cut = fresh_all(docs.columns, "id", "key", "h", "spans")
+    spans = found.where((F.size("base") > 0) | (F.size("added") > 0))
+    spans = spans.select(F.col(id).alias(own), F.col("h").alias(key), F.concat("base", "added").alias(cut)).distinct()
+    by_place = F.array_sort(F.transform(cut, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_no"].alias("kind_no"))))
     state = "struct<at:bigint,parts:array<string>>"
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")).cast(state)
     name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
@@ -236,9 +259,9 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Da
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts")).cast(state)
 
     done = F.aggregate(by_place, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    h = F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
-    joined = docs.withColumn("__key", h).join(spans, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), done).otherwise(t)).select(*docs.columns)
+    joined = docs.withColumn(h, F.xxhash64(F.coalesce(t.cast("string"), F.lit(""))))
+    joined = joined.join(spans, F.col(id).eqNullSafe(F.col(own)) & (F.col(h) == F.col(key)), "left")
+    return holding(joined.withColumn(text, F.when(F.col(cut).isNotNull(), done).otherwise(t)).select(*docs.columns), found)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
@@ -247,10 +270,11 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     r = find(docs)
     every = F.array_sort(F.concat("base", "added"))
     counts = [F.size(F.filter("base", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return r.select(
+    out = r.select(
         "doc_id",
         *counts,
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(every).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+    return holding(out, r)
