@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_staged, fresh, hashed_sample, small_batches, staged
+from .common import fresh, fresh_all, hashed_sample, holding, release, small_batches, staged
 
 #: Cells up to which raking runs on the driver and probabilities are broadcast.
 MAX_CELLS = 100_000
@@ -152,7 +152,7 @@ def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
     sums = _totals(every, lambda langs, z: (langs, z))
     n = sum(x[0] for x in sums.values())
     if not n:
-        drop_staged(every)
+        release(every)
         return Topics(np.zeros((1, DIMS), np.float32), {None: np.zeros(DIMS, np.float32)})
     means = {k: (total / m).astype(np.float32) for k, (m, total) in sums.items() if k is not None}
     means[None] = (sum(total for _, total in sums.values()) / n).astype(np.float32)
@@ -172,7 +172,7 @@ def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
             centres[int(k)] = total / max(np.linalg.norm(total), 1e-12)
         if np.array_equal(before, centres):
             break
-    drop_staged(every)
+    release(every)
     return Topics(centres.astype(np.float32), means)
 
 
@@ -274,11 +274,12 @@ def probabilities(cells: DataFrame, targets: dict, keep_share: float = KEEP_SHAR
             )
             step = step.join(scale, step[m].eqNullSafe(scale["__m"])).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("scale"))).drop("__m", "scale")
         nxt = staged(step, "cells")
-        drop_staged(now)
+        release(now)
         now = nxt
         if (now.agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0] or 0) < TOLERANCE:
             break
-    return now.drop("old")
+    release(*shares.values())
+    return holding(now.drop("old"), now)
 
 
 def draw(id: Column, h: Column, seed: int = SEED) -> Column:
@@ -311,25 +312,27 @@ def mixed(
     rows = staged(facts(docs, fitted, id, text, source, lang, topic), "facts")
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = staged(cells, "cells")
-    p = probabilities(cells, targets, keep_share, max_cells)
+    raked = p = probabilities(cells, targets, keep_share, max_cells)
     if cells.limit(max_cells + 1).count() <= max_cells:
         p = F.broadcast(p)  # at most max_cells short rows
     p = p.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("p").alias("probability"))
     on = [F.col(m).eqNullSafe(F.col(f"__{m}")) for m in MARGINS]
     out = rows.join(p, on[0] & on[1] & on[2], "left").withColumn("kept", draw(F.col("id"), F.col("h")) < F.col("probability"))
-    return out.select(F.col("id").alias(id), "h", *MARGINS, "n_tokens", "probability", "kept")
+    return holding(out.select(F.col("id").alias(id), "h", *MARGINS, "n_tokens", "probability", "kept"), rows, cells, raked)
 
 
 def keep_mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are drawn."""
-    kept = mixed(docs, id=id, text=text, **how).where("kept").select(F.col(id).alias("__id"), F.col("h").alias("__h")).distinct()
-    h = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    key = fresh(docs.columns, "h")
-    on = F.col(id).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__h"))
-    return docs.withColumn(key, h).join(kept, on, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that are drawn, with all their columns, of whatever names."""
+    every = mixed(docs, id=id, text=text, **how)
+    own, key, h = fresh_all(docs.columns, "id", "h", "text_hash")
+    kept = every.where("kept").select(F.col(id).alias(own), F.col("h").alias(key)).distinct()
+    on = F.col(id).eqNullSafe(F.col(own)) & (F.col(h) == F.col(key))
+    rows = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return holding(rows.join(kept, on, "left_semi").select(*docs.columns), every)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixed(docs).drop("h")
+    every = mixed(docs)
+    return holding(every.drop("h"), every)
