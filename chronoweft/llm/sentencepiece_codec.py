@@ -126,16 +126,20 @@ def merges_of(m: Model) -> list[tuple[str, str]]:
 
 
 def build(m: Model):
-    """The ``tokenizers.Tokenizer`` of a model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    """The ``tokenizers.Tokenizer`` of a model.
+
+    Normaliser: the model's character map, white-space rules and dummy prefix.
+    The marker is set by the metaspace pre-tokenizer, which does not split, and
+    taken back by the metaspace decoder.  The prefix's space stays in decoded
+    texts; :class:`Codec` takes it off.
+    """
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.remove_extra_whitespaces:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip(True, True)]
     if m.add_dummy_prefix:
-        steps.append(normalizers.Prepend(" "))
-    if m.escape_whitespaces:
-        steps.append(normalizers.Replace(" ", MARK))
+        steps.append(normalizers.Prepend(MARK if m.escape_whitespaces else " "))
     if m.model_type == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         unk = m.pieces[m.unk_id][0]
@@ -147,19 +151,14 @@ def build(m: Model):
     t = Tokenizer(model)
     if steps:
         t.normalizer = normalizers.Sequence(steps)
-    tail = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+    if m.escape_whitespaces:
+        t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=False)
+    t.decoder = decoders.Sequence([decoders.Metaspace(replacement=MARK, prepend_scheme="never"), decoders.ByteFallback()])
     return t
 
 
 class Codec:
-    """A model ready for batches of texts.
-
-    Where the normaliser does no more than set markers for spaces, they are set
-    by ``str.replace`` ahead of the library; it is the same text, and cheaper.
-    Decoding joins the pieces' bytes; only where a byte piece leaves something
-    that isn't UTF-8 does the library decode, to place its replacement marks.
-    """
+    """A model ready for batches of texts, and the library that it is verified against."""
 
     def __init__(self, blob: bytes):
         import sentencepiece
@@ -168,31 +167,15 @@ class Codec:
         self.tokenizer = build(m)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.prefix = m.add_dummy_prefix
+        #: The normaliser changes nothing but spaces to markers.
         self.plain = m.escape_whitespaces and not m.charsmap and not m.remove_extra_whitespaces
-        if self.plain:
-            from tokenizers import normalizers
-
-            self.tokenizer.normalizer = normalizers.Sequence([])
-        piece = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
-        self.bytes_of = piece.__getitem__
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.plain:
-            head = MARK if self.prefix else ""
-            texts = [head + t.replace(" ", MARK) if t else t for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        out = []
-        for x in ids:
-            made = b"".join(map(self.bytes_of, x))
-            if self.prefix and made[:1] == b" ":
-                made = made[1:]
-            try:
-                out.append(made.decode())
-            except UnicodeDecodeError:
-                out.append(self.tokenizer.decode(x, skip_special_tokens=False))
-        return out
+        made = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [t[1:] if t[:1] == " " else t for t in made] if self.prefix else made
 
     def same_text(self, texts: list[str], decoded: list[str]) -> list[bool]:
         """Whether the decoded texts are the normalised ones."""
