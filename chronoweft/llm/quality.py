@@ -89,11 +89,11 @@ class Space:
     prior: float
 
     def project(self, texts: list[bytes | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.basis.shape[1]), np.float32)
+        out = np.zeros((len(texts), self.basis.shape[1]))
         for i, t in enumerate(texts):
             slot, c = terms(t)
             if len(slot):
-                out[i] = (1 + np.log(c)).astype(np.float32) @ self.basis[slot]
+                out[i] = (1 + np.log(c)) @ self.basis[slot]
         return unit(out)
 
     def score(self, z: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     total = tally.get(0, 0) + tally.get(1, 0)
     prior = tally.get(1, 0) / total if total else 0.5
     if len(y) == 0:
-        return Space(np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
+        return Space(np.zeros((DIMS, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0), prior)
     lists = got["s"].combine_chunks()
     bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
     slot = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     drawn = np.array([(y == 0).sum(), (y == 1).sum()], float)
     share = np.array([1 - prior, prior]) / np.where(drawn > 0, drawn, 1)
     weights = share[y] / share[y].mean()
-    return Space((basis * idf[:, None]).astype(np.float32), vectors.astype(np.float32), y.astype(float), weights, prior)
+    return Space(basis * idf[:, None], vectors, y.astype(float), weights, prior)
 
 
 def _right_vectors(slot, value, bounds, k: int, passes: int = 4) -> np.ndarray:
