@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.llm import mixing, pii, quality, sentencepiece_codec, simhash
-from chronoweft.llm.common import drop_staged, staged
+from chronoweft.llm.common import holding, release, staged
 
 
 def quality_classifier(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def simhash_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_redaction(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by marks, and the length to match."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = pii.redact(docs)
+    return holding(clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), clean)
 
 
 def mixing_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's tables go once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "stage")
-        if before is not None:
-            drop_staged(before)
-        before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES[:-1]:
+        made = stage(spark, docs, sf_dir)
+        kept = staged(made, "stage")
+        release(made, docs)
+        docs = kept
+    return holding(STAGES[-1][1](spark, docs, sf_dir), docs)
