@@ -176,19 +176,24 @@ def confidence_band(confidence, cfg: OffsetSafety) -> Column:
     )
 
 
+#: Why a search radius is what it is, by band, without and with the fallback's estimate.
+RADIUS_REASONS = {
+    "high": ("high_confidence_anchor_estimate", "high_confidence_fallback_selected"),
+    "medium": ("medium_confidence_anchor_estimate", "medium_confidence_fallback_selected"),
+    "low": ("low_confidence_no_fallback_selected", "low_confidence_fallback_selected"),
+}
+NO_RADIUS_REASON = "no_usable_initial_estimate"
+
+
 def search_radius(band, fallback_selected, usable, cfg: OffsetSafety) -> Column:
-    """Struct (radius, reason) of the drift search around an offset."""
-    by_band = (
-        F.when(col(band) == "high", cfg.high_confidence_search_radius_seconds)
-        .when(col(band) == "medium", cfg.medium_confidence_search_radius_seconds)
-        .otherwise(cfg.low_confidence_search_radius_seconds)
-    )
+    """Struct (radius, reason) of the drift search around an offset; a failed band that is still usable counts as low."""
     level = F.when(col(band).isin("high", "medium"), col(band)).otherwise("low")
-    suffix = F.when(col(fallback_selected), "confidence_fallback_selected").otherwise(
-        F.when(level == "low", "confidence_no_fallback_selected").otherwise("confidence_anchor_estimate")
-    )
-    radius = F.when(col(usable), F.least(by_band, F.lit(cfg.max_drift_search_radius_seconds))).otherwise(0.0)
-    reason = F.when(col(usable), F.concat_ws("_", level, suffix)).otherwise("no_usable_initial_estimate")
+    radius, reason = F.lit(0.0), F.lit(NO_RADIUS_REASON)
+    for name, (plain, fallback) in RADIUS_REASONS.items():
+        here = col(usable) & (level == name)
+        seconds = min(getattr(cfg, f"{name}_confidence_search_radius_seconds"), cfg.max_drift_search_radius_seconds)
+        radius = F.when(here, float(seconds)).otherwise(radius)
+        reason = F.when(here, F.when(col(fallback_selected), fallback).otherwise(plain)).otherwise(reason)
     return F.struct(radius.cast("double").alias("radius"), reason.alias("reason"))
 
 
@@ -198,20 +203,22 @@ def fallback_accepted(confidence, margin, anchor_confidence, cfg: OffsetSafety)
     return enough & (ahead | (confidence_band(anchor_confidence, cfg) == "failed"))
 
 
+def _digits(c: Column) -> Column:
+    """Three digits, halves to the even one."""
+    return F.format_string("%.3f", F.rint(c * 1000.0) / 1000.0)
+
+
 def fallback_objections(confidence, margin, anchor_confidence, cfg: OffsetSafety) -> Column:
-    """Why a fallback was turned down, ``; `` between the reasons."""
-    c, m, gain = col(confidence), col(margin), col(confidence) - col(anchor_confidence)
-    return F.concat_ws(
-        "; ",
-        F.when(c < cfg.coarse_fallback_min_confidence, F.format_string(f"fallback confidence %.3f < {cfg.coarse_fallback_min_confidence:.3f}", c)),
-        F.when(m < cfg.coarse_fallback_min_peak_margin, F.format_string(f"peak margin %.3f < {cfg.coarse_fallback_min_peak_margin:.3f}", m)),
-        F.when(gain < cfg.coarse_fallback_confidence_margin, F.format_string(f"confidence advantage %.3f < {cfg.coarse_fallback_confidence_margin:.3f}", gain)),
-    )
+    """What speaks against a fallback, ``; `` between the reasons; empty if nothing does."""
+    c, m = col(confidence), col(margin)
+    rated = (("confidence", c, cfg.coarse_fallback_min_confidence), ("peak margin", m, cfg.coarse_fallback_min_peak_margin), ("gain over the anchors", c - col(anchor_confidence), cfg.coarse_fallback_confidence_margin))
+    return F.concat_ws("; ", *(F.when(got < need, F.concat(F.lit(f"{name} "), _digits(got), F.lit(f" is below {need:.3f}"))) for name, got, need in rated))
 
 
 def fallback_cap(local_duration, master_duration, cfg: OffsetSafety) -> Column:
     """Struct (cap, memory_limited): seconds that the whole-recording correlation may use; null for all."""
-    memory = int(cfg.coarse_fallback_max_memory_mb * 1024 * 1024 / 8 / 3) / (8.0 * cfg.coarse_fallback_sample_rate)
+    arrays, bytes_each, overhead = 3, 8, 8.0
+    memory = int(cfg.coarse_fallback_max_memory_mb * 1024 * 1024 / bytes_each / arrays) / (overhead * cfg.coarse_fallback_sample_rate)
     longest = F.greatest(col(local_duration), col(master_duration))
     limited = F.lit(memory) < longest
     explicit = cfg.coarse_fallback_max_duration_seconds

@@ -123,31 +123,46 @@ def peak_report(scores: np.ndarray, exclusion: int) -> dict | None:
     }
 
 
-def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Rational resampling by a zero-phase Kaiser-windowed low pass; the same array for equal rates."""
+def _ratio(source: int, target: int) -> tuple[int, int]:
     if source <= 0 or target <= 0:
         raise ValueError("sample rates must be positive")
-    if source == target:
-        return np.asarray(x)
     g = math.gcd(source, target)
-    up, down = target // g, source // g
+    return target // g, source // g
+
+
+def resample_reach(source: int, target: int) -> int:
+    """Samples on either side that the low pass of :func:`resample` looks at."""
+    up, down = _ratio(source, target)
+    return 0 if up == down else 10 * max(up, down) // up + 2
+
+
+def resample(x: np.ndarray, source: int, target: int, part: tuple[int, int, int] | None = None):
+    """Rational resampling by a zero-phase Kaiser-windowed low pass; the same array for equal rates.
+
+    With ``part`` (a, i, j), ``x`` is a series from its sample ``a`` on, and the
+    result is (number of the first sample, samples) for what i to j becomes.
+    """
+    up, down = _ratio(source, target)
+    x = np.asarray(x)
+    a, i, j = part or (0, 0, len(x))
+    if up == down:
+        return (i, x[i - a : j - a]) if part else x
     half = 10 * max(up, down)
     k = np.arange(-half, half + 1)
     taps = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
     taps *= up / taps.sum()
-    n = -(-len(x) * up // down)
-    # output j is centred at j * down on the grid that is finer by ``up``
-    centre = np.arange(n) * down
-    out = np.zeros(n)
-    x = np.asarray(x, np.float64)
-    reach = half // up + 1
+    first = -(-i * up // down)
+    # output n is centred at n * down on the grid that is finer by ``up``
+    centre = np.arange(first, -(-j * up // down)) * down
+    out = np.zeros(len(centre))
+    x = x.astype(np.float64)
     nearest = centre // up
-    for d in range(-reach, reach + 1):
-        i = nearest + d
-        tap = centre - i * up
-        ok = (i >= 0) & (i < len(x)) & (np.abs(tap) <= half)
-        out[ok] += x[i[ok]] * taps[tap[ok] + half]
-    return out
+    for d in range(-(half // up + 1), half // up + 2):
+        at = nearest + d
+        tap = centre - at * up
+        ok = (at >= a) & (at - a < len(x)) & (np.abs(tap) <= half)
+        out[ok] += x[at[ok] - a] * taps[tap[ok] + half]
+    return (first, out) if part else out
 
 
 def pchip_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -188,3 +203,49 @@ def regrid(x: np.ndarray, n: int) -> np.ndarray:
     if len(x) == 0 or n <= 0:
         return np.zeros(max(n, 0))
     return np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
+
+
+def kalman_filter(t, z, noise, start, prior, offset_power: float, rate_power: float) -> np.ndarray:
+    """Filtered [offset, rate] states of one series, a row for each observation.
+
+    Columns: offset, rate, p00, p01, p11 after the observation, and the same before
+    it.  ``start`` is the state before the first observation and ``prior`` its two
+    variances; the powers are variances gained in a second.
+    """
+    o, r = start
+    p00, p01, p11 = prior[0], 0.0, prior[1]
+    out = np.empty((len(t), 10))
+    for i, (now, seen, n) in enumerate(zip(np.asarray(t, float).tolist(), np.asarray(z, float).tolist(), np.asarray(noise, float).tolist())):
+        if i:
+            dt = now - before
+            o += dt * r
+            p00 += dt * (2 * p01 + dt * p11) + offset_power * dt + rate_power * dt**3 / 3
+            p01 += dt * p11 + rate_power * dt * dt / 2
+            p11 += rate_power * dt
+        before = now
+        ahead = (o, r, p00, p01, p11)
+        k0, k1 = p00 / (p00 + n), p01 / (p00 + n)
+        gap = seen - o
+        o, r, p00, p01, p11 = o + k0 * gap, r + k1 * gap, (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
+        out[i] = (o, r, p00, p01, p11, *ahead)
+    return out
+
+
+def kalman_smoother(t, states: np.ndarray, check=None) -> np.ndarray:
+    """Smoothed offset, rate, p00, p01, p11 (Rauch, Tung and Striebel, 1965) of the rows of :func:`kalman_filter`.
+
+    ``check(i, matrix)`` sees every predicted covariance that is inverted.
+    """
+    out = states[:, :5].copy()
+    t = np.asarray(t, float)
+    for i in range(len(t) - 2, -1, -1):
+        f = np.array([[1.0, t[i + 1] - t[i]], [0.0, 1.0]])
+        own, nxt, late = states[i], states[i + 1], out[i + 1]
+        p, q = (np.array([[x[0], x[1]], [x[1], x[2]]]) for x in (own[2:5], nxt[7:10]))
+        if check:
+            check(i + 1, q)
+        g = np.linalg.solve(q, f @ p).T
+        moved = own[:2] + g @ (late[:2] - nxt[5:7])
+        c = p + g @ (np.array([[late[2], late[3]], [late[3], late[4]]]) - q) @ g.T
+        out[i] = (*moved, c[0, 0], (c[0, 1] + c[1, 0]) / 2, c[1, 1])
+    return out

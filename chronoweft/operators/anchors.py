@@ -9,6 +9,7 @@ from ..config import AnchorSelection
 from ..functions import scalar as S
 from ..functions.signal import flatness_udf
 from .joins import point_in_range
+from .series import spans
 
 
 def local_snr(samples: DataFrame, clips: DataFrame, sample_rate: float, key: list[str], track: str = "track") -> DataFrame:
@@ -127,6 +128,15 @@ def coverage_warnings(coverage: DataFrame, gaps: DataFrame, extents: DataFrame,
     return sparse.unionByName(wide)
 
 
+def coverage(every: DataFrame, chosen: DataFrame, totals: DataFrame, cfg: AnchorSelection, track: str = "track") -> DataFrame:
+    """The coverage warnings of a selection, from the candidates with their bins and each track's ``total``."""
+    extents = every.select(track, "bins").distinct().join(totals.select(track, "total"), track).where("bins > 0")
+    usable = every.where("rejection_reason IS NULL")
+    middles = chosen.select(track, ((F.col("local_start") + F.col("local_end")) / 2.0).alias("midpoint"))
+    gaps = spans(middles, extents.select(track, "total"), "midpoint", track)
+    return coverage_warnings(bin_coverage(usable, chosen, extents, track), gaps, extents.select(track, "total"), track)
+
+
 def selection_summary(every: DataFrame, chosen: DataFrame, coverage: DataFrame, gaps: DataFrame, track: str = "track") -> DataFrame:
     """One row for each track: counts, rejections by reason, durations of the chosen, longest gap."""
     reasons = every.where("rejection_reason IS NOT NULL").groupBy(track, "rejection_reason").agg(F.count("*").cast("int").alias("n"))

@@ -16,6 +16,10 @@ PEAK = "struct<best_score:double,best_lag:bigint,second_score:double,second_lag:
 #: Scores this close to the best count as equal; the earliest of them is taken.
 NEAR_TIE = 1e-4
 LEAST_SCORE = 0.10
+#: Peaks of one anchor that are tried until one lies where the reference is active.
+CANDIDATE_PEAKS = 5
+#: Reasons of the reference's activity.
+LOW_OVERLAP, NO_OVERLAP, UNAVAILABLE = "master_vad_low_overlap_ratio", "master_vad_no_overlap", "master_vad_unavailable"
 
 
 def centred(a: Column) -> Column:
@@ -111,6 +115,28 @@ def peaks_udf(exclusion: int):
     return report
 
 
+def successive_peaks(scores: np.ndarray, exclusion: int, most: int, least: float) -> list[dict]:
+    """Peak reports, best first: each of what is left once the surroundings of those before are wiped out.
+
+    The first is there whatever its score, the others from ``least`` on.
+    """
+    x, out = np.array(scores, np.float64), []
+    while len(out) < most and (p := peak_report(x, exclusion)) is not None and (not out or p["best_score"] >= least):
+        out.append(p)
+        x[max(0, p["best_lag"] - exclusion) : p["best_lag"] + exclusion + 1] = -1.0
+    return out
+
+
+def candidate_peaks_udf(exclusion: int, most: int, least: float):
+    """Column function (search, feature) -> array of the peak reports that may be tried in turn."""
+
+    @F.pandas_udf(f"array<{PEAK}>")
+    def report(search: pd.Series, feature: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or f is None else successive_peaks(ncc(s, f), exclusion, most, least) for s, f in zip(search, feature)], dtype=object)
+
+    return report
+
+
 @F.pandas_udf(T.StructType([T.StructField("peak", T.DoubleType()), T.StructField("lag", T.LongType())]))
 def phase_udf(search: pd.Series, feature: pd.Series) -> pd.DataFrame:
     out = []
@@ -122,56 +148,85 @@ def phase_udf(search: pd.Series, feature: pd.Series) -> pd.DataFrame:
     return frame
 
 
-def match(pairs: DataFrame, sample_rate: float, cfg: AnchorMatching, keep: list[str]) -> DataFrame:
+def padded(active: DataFrame, padding: float) -> DataFrame:
+    """(ref, r_start, r_end): the reference's intervals (start, end), padded and merged."""
+    from .series import merged
+
+    wide = active.select(F.lit(0).alias("ref"), (F.col("start") - padding).alias("start"), (F.col("end") + padding).alias("end"))
+    return merged(wide, "ref").select("ref", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+
+
+def first_active(tried: DataFrame, solid: DataFrame, least_ratio: float, key: list[str]) -> DataFrame:
+    """(key, rank, reason): of the places tried (rank from 0, master_start, master_end) the first one of which
+    ``least_ratio`` lies in the intervals ``solid`` (of :func:`padded`); the first of all, with a reason, if there is none."""
+    from .joins import overlap_ratio
+
+    asked = tried.select(*key, "rank", F.lit(0).alias("ref"), F.col("master_start").alias("l_start"), F.col("master_end").alias("l_end"))
+    rated = overlap_ratio(asked, solid, 60.0, [*key, "rank"], "ref")
+    r = F.col("overlap_ratio")
+    best = rated.groupBy(*key).agg(F.min(F.when(r >= least_ratio, F.col("rank"))).alias("hit"), F.max(F.when(F.col("rank") == 0, r)).alias("first"))
+    reason = F.when(F.col("hit").isNull(), F.when(F.col("first") > 0, LOW_OVERLAP).otherwise(NO_OVERLAP))
+    return best.select(*key, F.coalesce("hit", F.lit(0)).alias("rank"), reason.alias("reason"))
+
+
+def match(pairs: DataFrame, sample_rate: float, cfg: AnchorMatching, keep: list[str], active: DataFrame | None = None, safety: OffsetSafety | None = None, stage=lambda df: df) -> DataFrame:
     """Anchors (clip, search, search_first, local_start, local_end, anchor_confidence) matched.
 
     Gives the place on the reference, all peak figures, the confidence and the
-    reason of a rejection.  The second correlation runs on the ambiguous rows only.
+    reason of a rejection.  With the reference's ``active`` intervals the next
+    best peaks are tried in turn until one lies there; an anchor with none loses
+    its confidence.  ``stage`` writes what is read twice then.  The second
+    correlation runs on the ambiguous rows only.
     """
     exclusion = max(1, int(np.rint(cfg.nms_exclusion_seconds * sample_rate)))
-    rated = pairs.where(F.size("search") >= F.size("clip")).withColumn("p", peaks_udf(exclusion)("search", "clip"))
-    best, margin, prom = F.col("p.best_score"), F.col("p.margin"), F.col("p.prominence")
-    unsure = S.is_ambiguous(best, margin, prom, cfg) if cfg.gcc_phat_only_when_ambiguous else F.lit(True)
-    rated = rated.withColumn("unsure", unsure & F.lit(cfg.gcc_phat_enabled))
+    most = 1 if active is None else CANDIDATE_PEAKS
+    rate = F.lit(float(sample_rate))
+    rated = pairs.where(F.size("search") >= F.size("clip")).withColumn("tried", candidate_peaks_udf(exclusion, most, cfg.ncc_min_score)("search", "clip"))
+    unsure = lambda p: S.is_ambiguous(p["best_score"], p["margin"], p["prominence"], cfg) if cfg.gcc_phat_only_when_ambiguous else F.lit(True)
+    rated = rated.withColumn("unsure", F.exists("tried", unsure) & F.lit(cfg.gcc_phat_enabled))
     second = rated.where("unsure").withColumn("g", phase_udf("search", "clip"))
-    rated = rated.where("NOT unsure").withColumn("g", F.lit(None).cast("struct<peak:double,lag:bigint>")).unionByName(second)
-    gap = (F.col("g.lag") - F.col("p.best_lag")) / F.lit(float(sample_rate))
+    rated = rated.where("NOT coalesce(unsure, false)").withColumn("g", F.lit(None).cast("struct<peak:double,lag:bigint>")).unionByName(second)
+    rows = rated.select(*keep, "local_start", "local_end", "anchor_confidence", "search_first", F.size("clip").alias("clip_size"), "tried", "g")
+    place = (F.col("search_first") + F.col("p.best_lag")) / rate
+    if active is None:
+        rows = rows.withColumn("p", F.get("tried", F.lit(0))).withColumn("reason", F.lit(None).cast("string"))
+    else:
+        rows = stage(rows)
+        spans = rows.select(*keep, "search_first", "clip_size", F.posexplode("tried").alias("rank", "p")).select(*keep, "rank", place.alias("master_start"), (place + F.col("clip_size") / rate).alias("master_end"))
+        choice = first_active(spans, padded(active, safety.master_vad_padding_seconds), safety.master_vad_min_overlap_ratio, keep)
+        rows = rows.join(choice, keep, "left").withColumn("p", F.get("tried", F.coalesce("rank", F.lit(0))))
+    rows = rows.withColumn("g", F.when(unsure(F.col("p")), F.col("g")))
+    best, margin, prom = F.col("p.best_score"), F.col("p.margin"), F.col("p.prominence")
+    gap = (F.col("g.lag") - F.col("p.best_lag")) / rate
     agree = S.agreement("g.peak", gap, cfg)
     q, u, w = S.peak_quality(best, cfg), S.peak_uniqueness(margin, prom, cfg), S.peak_sharpness("p.width_samples", sample_rate, cfg)
-    start = (F.col("search_first") + F.col("p.best_lag")) / F.lit(float(sample_rate))
-    out = rated.select(
+    inactive = F.col("reason").isNotNull()
+    out = rows.select(
         *keep, "local_start", "local_end",
-        start.alias("master_start"),
-        (start + F.size("clip") / F.lit(float(sample_rate))).alias("master_end"),
-        (start - F.col("local_start")).alias("offset_seconds"),
+        place.alias("master_start"),
+        (place + F.col("clip_size") / rate).alias("master_end"),
+        (place - F.col("local_start")).alias("offset_seconds"),
         best.alias("score"),
         *(F.col(f"p.{c}").alias(f"ncc_{c}") for c in ("second_score", "margin", "prominence", "width_samples", "plateau_samples")),
         F.col("g.peak").alias("gcc_phat_peak"), gap.alias("gcc_phat_gap_seconds"),
         q.alias("match_quality"), u.alias("match_uniqueness"), w.alias("match_sharpness"), agree.alias("match_agreement"),
-        S.match_confidence("anchor_confidence", q, u, w, agree).alias("confidence"),
-        S.gate_reason(best, margin, prom, cfg).alias("gate"),
+        F.when(inactive, 0.0).otherwise(S.match_confidence("anchor_confidence", q, u, w, agree)).alias("confidence"),
+        S.gate_reason(best, margin, prom, cfg).alias("gate"), "reason",
     )
     weak = F.when(F.col("confidence") < cfg.min_confidence_for_fit, "confidence_below_min_for_fit")
-    return out.withColumn("rejected_reason", F.coalesce("gate", weak)).drop("gate")
-
-
-def activity_checked(matches: DataFrame, active: DataFrame, cfg: OffsetSafety, key: list[str]) -> DataFrame:
-    """Matches whose place on the reference is hardly active lose their confidence and get a reason.
-
-    ``active`` are the reference's intervals (start, end); they are padded and merged.
-    """
-    from .joins import overlap_ratio
-    from .series import merged
-
-    pad = cfg.master_vad_padding_seconds
-    wide = active.select(F.lit(0).alias("ref"), (F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"))
-    solid = merged(wide, "ref").select("ref", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    asked = matches.select(*key, F.lit(0).alias("ref"), F.col("master_start").alias("l_start"), F.col("master_end").alias("l_end"))
-    ratio = overlap_ratio(asked, solid, 60.0, key, "ref").select(*key, "overlap_ratio")
-    r = F.col("overlap_ratio")
-    reason = F.when(r >= cfg.master_vad_min_overlap_ratio, F.lit(None)).when(r > 0, "master_vad_low_overlap_ratio").otherwise("master_vad_no_overlap")
-    out = matches.join(ratio, key, "left").withColumn("__r", reason)
-    return out.withColumn("rejected_reason", F.coalesce("__r", "rejected_reason")).withColumn("confidence", F.when(F.col("__r").isNotNull(), 0.0).otherwise(F.col("confidence"))).drop("__r")
+    return out.withColumn("rejected_reason", F.coalesce("reason", "gate", weak)).drop("gate", "reason")
+
+
+def unmatched(asked: DataFrame, master_total: str, keep: list[str]) -> DataFrame:
+    """Anchors (local_start, local_end, expected, clip_seconds) as matches that nothing vouches for: the reference's
+    activity is unknown and such anchors are to be rejected.  Places are held within the reference."""
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.col(master_total), c))
+    start = held(F.col("expected"))
+    none = [f"ncc_{c}" for c in ("second_score", "margin", "prominence", "width_samples")] + ["gcc_phat_peak", "gcc_phat_gap_seconds", "match_quality", "match_uniqueness", "match_sharpness", "match_agreement"]
+    return asked.select(
+        *keep, "local_start", "local_end", start.alias("master_start"), held(F.col("expected") + F.col("clip_seconds")).alias("master_end"), (start - F.col("local_start")).alias("offset_seconds"),
+        F.lit(0.0).alias("score"), *(F.lit(None).cast("double").alias(c) for c in none), F.lit(None).cast("long").alias("ncc_plateau_samples"), F.lit(0.0).alias("confidence"), F.lit(UNAVAILABLE).alias("rejected_reason"),
+    )
 
 
 def block_scores(sample_block: pd.Series, clip: pd.Series) -> pd.DataFrame:

@@ -7,9 +7,15 @@ The whole fit is aggregates and joins by track.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.signal import kalman_filter, kalman_smoother
 from .series import anchor_gaps
 
 #: The least threshold in ms, its multiples of the residuals' spread and middle, rounds, least weight.
@@ -143,66 +149,80 @@ def segment_rates(slope: Column, changes: Column) -> Column:
     return F.aggregate(changes, F.array(slope), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c)))
 
 
+_FILTERED = ("offset", "rate", "p00", "p01", "p11", "po", "pr", "q00", "q01", "q11")
+
+
+def _by_track(rows: DataFrame, track: str, run, out: tuple[str, ...]) -> DataFrame:
+    """``run`` over each track's sorted Arrow table; gives (track, n, t, out)."""
+    schema = T.StructType([rows.schema[track], T.StructField("n", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("t", *out))])
+    arrow = to_arrow_schema(schema)
+
+    def each(table: pa.Table) -> pa.Table:
+        t, made = run(table)
+        columns = [table[track].combine_chunks(), pa.array(np.arange(len(t)), pa.int32()), pa.array(t, pa.float64()), *(pa.array(made[:, i]) for i in range(made.shape[1]))]
+        return pa.Table.from_arrays(columns, schema=arrow)
+
+    return rows.groupBy(track).applyInArrow(each, schema)
+
+
 def kalman_forward(rows: DataFrame, offset_sigma: float, rate_sigma: float, observation_sigma: float, offset_prior: float, rate_prior: float, track: str = "track") -> DataFrame:
-    """Filtered states of each track, folded over its sorted observations inside one expression.
+    """Filtered states of each track, in order of time; linear in a track's length.
 
     ``rows``: (track, t, z, confidence, first_offset, first_rate), the state before
     the first observation; states are [offset, rate] with a symmetric covariance
     (p00, p01, p11).  Gives (track, n, t, offset, rate, p00, p01, p11) and the
     prediction (po, pr, q00, q01, q11).
     """
-    d = lambda v: F.lit(float(v))
-    ob = F.struct(F.col("t").cast("double").alias("t"), F.col("z").cast("double").alias("z"), F.greatest(F.col("confidence"), d(1e-3)).alias("c"))
-    grouped = rows.groupBy(track, "first_offset", "first_rate").agg(F.array_sort(F.collect_list(ob)).alias("obs"))
-    names = ("t", "o", "r", "p00", "p01", "p11", "po", "pr", "q00", "q01", "q11")
-    kind = "array<struct<" + ",".join(f"{n}:double" for n in names) + ">>"
-
-    def step(acc: Column, x: Column) -> Column:
-        prev, fresh = F.element_at(acc, -1), F.size(acc) == 0
-        dt = x["t"] - prev["t"]
-        po = F.when(fresh, F.col("first_offset")).otherwise(prev["o"] + dt * prev["r"])
-        pr = F.when(fresh, F.col("first_rate")).otherwise(prev["r"])
-        q00 = F.when(fresh, d(offset_prior**2)).otherwise(prev["p00"] + 2 * dt * prev["p01"] + dt * dt * prev["p11"] + d(offset_sigma**2) * dt + d(rate_sigma**2) * dt * dt * dt / 3.0)
-        q01 = F.when(fresh, d(0.0)).otherwise(prev["p01"] + dt * prev["p11"] + d(rate_sigma**2) * dt * dt / 2.0)
-        q11 = F.when(fresh, d(rate_prior**2)).otherwise(prev["p11"] + d(rate_sigma**2) * dt)
-        noise = d(observation_sigma) / x["c"]
-        k0, k1 = q00 / (q00 + noise * noise), q01 / (q00 + noise * noise)
-        gap = x["z"] - po
-        values = (x["t"], po + k0 * gap, pr + k1 * gap, (1 - k0) * q00, (1 - k0) * q01, q11 - k1 * q01, po, pr, q00, q01, q11)
-        return F.concat(acc, F.array(F.struct(*(v.cast("double").alias(n) for v, n in zip(values, names)))))
-
-    states = F.aggregate("obs", F.array().cast(kind), step)
-    out = grouped.select(track, F.posexplode(states).alias("n", "s"))
-    return out.select(track, "n", "s.t", F.col("s.o").alias("offset"), F.col("s.r").alias("rate"), "s.p00", "s.p01", "s.p11", "s.po", "s.pr", "s.q00", "s.q01", "s.q11")
+    sorted_by = [("t", "ascending"), ("z", "ascending"), ("confidence", "ascending")]
+
+    def run(table: pa.Table):
+        at = pc.sort_indices(table, sorted_by)
+        t, z, c, o, r = (table[n].take(at).to_numpy() for n in ("t", "z", "confidence", "first_offset", "first_rate"))
+        noise = (observation_sigma / np.maximum(c, LEAST_WEIGHT)) ** 2
+        return t, kalman_filter(t, z, noise, (float(o[0]), float(r[0])), (offset_prior**2, rate_prior**2), offset_sigma**2, rate_sigma**2)
+
+    d = [F.col(c).cast("double").alias(c) for c in ("t", "z", "confidence", "first_offset", "first_rate")]
+    return _by_track(rows.select(track, *d), track, run, _FILTERED)
 
 
 def rts_smooth(filtered: DataFrame, track: str = "track") -> DataFrame:
-    """Smoothed states (track, n, t, offset, rate, p00, p01, p11) from filtered ones: the same fold, from the end."""
-    fields = ("t", "offset", "rate", "p00", "p01", "p11", "po", "pr", "q00", "q01", "q11")
-    state = F.struct(F.col("n").cast("int").alias("n"), *fields)
-    grouped = filtered.groupBy(track).agg(F.reverse(F.array_sort(F.collect_list(state))).alias("f"))
-    names = ("t", "o", "r", "p00", "p01", "p11", "po", "pr", "q00", "q01", "q11")
-    kind = "array<struct<n:int," + ",".join(f"{n}:double" for n in names) + ">>"
-
-    def step(acc: Column, x: Column) -> Column:
-        nxt, last = F.element_at(acc, -1), F.size(acc) == 0
-        dt = nxt["t"] - x["t"]
-        # gain = P F' Q^-1 with the next state's predicted covariance Q
-        a0, a1 = x["p00"] + dt * x["p01"], x["p01"]
-        b0, b1 = x["p01"] + dt * x["p11"], x["p11"]
-        det = nxt["q00"] * nxt["q11"] - nxt["q01"] * nxt["q01"]
-        g00, g01 = (a0 * nxt["q11"] - a1 * nxt["q01"]) / det, (a1 * nxt["q00"] - a0 * nxt["q01"]) / det
-        g10, g11 = (b0 * nxt["q11"] - b1 * nxt["q01"]) / det, (b1 * nxt["q00"] - b0 * nxt["q01"]) / det
-        eo, er = nxt["o"] - nxt["po"], nxt["r"] - nxt["pr"]
-        d00, d01, d11 = nxt["p00"] - nxt["q00"], nxt["p01"] - nxt["q01"], nxt["p11"] - nxt["q11"]
-        p00 = x["p00"] + g00 * g00 * d00 + 2 * g00 * g01 * d01 + g01 * g01 * d11
-        p01 = x["p01"] + g00 * g10 * d00 + (g00 * g11 + g01 * g10) * d01 + g01 * g11 * d11
-        p11 = x["p11"] + g10 * g10 * d00 + 2 * g10 * g11 * d01 + g11 * g11 * d11
-        smooth = (x["offset"] + g00 * eo + g01 * er, x["rate"] + g10 * eo + g11 * er, p00, p01, p11)
-        plain = (x["offset"], x["rate"], x["p00"], x["p01"], x["p11"])
-        middle = [F.when(last, a).otherwise(b) for a, b in zip(plain, smooth)]
-        values = (x["t"], *middle, x["po"], x["pr"], x["q00"], x["q01"], x["q11"])
-        return F.concat(acc, F.array(F.struct(x["n"].alias("n"), *(v.cast("double").alias(n) for v, n in zip(values, names)))))
-
-    done = F.aggregate("f", F.array().cast(kind), step)
-    return grouped.select(track, F.explode(done).alias("s")).select(track, "s.n", "s.t", F.col("s.o").alias("offset"), F.col("s.r").alias("rate"), "s.p00", "s.p01", "s.p11")
+    """Smoothed states (track, n, t, offset, rate, p00, p01, p11) from filtered ones, from the end."""
+
+    def run(table: pa.Table):
+        at = pc.sort_indices(table, [("n", "ascending")])
+        t = table["t"].take(at).to_numpy()
+        return t, kalman_smoother(t, np.column_stack([table[c].take(at).to_numpy() for c in _FILTERED]))
+
+    return _by_track(filtered.select(track, "n", "t", *_FILTERED), track, run, _FILTERED[:5])
+
+
+def uncertainty_band(states: DataFrame, sigmas: float = 1.0) -> DataFrame:
+    """States with (master_t, low, high): the reference time that a state gives its local one, and ``sigmas`` deviations on either side."""
+    sd = F.sqrt(F.greatest("p00", F.lit(0.0))) * sigmas
+    master = F.col("t") + F.col("offset")
+    return states.withColumn("master_t", master).withColumn("low", master - sd).withColumn("high", master + sd)
+
+
+def segment_residuals(judged: DataFrame, breaks: DataFrame, track: str = "track") -> DataFrame:
+    """(track, segment, n, residual_median_ms, residual_max_ms) of the included matches of every segment, empty ones too.
+
+    ``breaks`` has each track's ascending ``breaks``; a break's own match belongs
+    to the segment after it, and the last segment has all to its end.
+    """
+    rows = judged.where("included_in_regression").select(track, "local_start", "residual_ms").join(breaks.select(track, "breaks"), track)
+    own = F.size(F.filter("breaks", lambda b: b <= F.col("local_start")))
+    r = F.abs("residual_ms")
+    found = rows.select(track, own.alias("segment"), "residual_ms").groupBy(track, "segment").agg(F.count("*").alias("n"), F.median(r).alias("residual_median_ms"), F.max(r).alias("residual_max_ms"))
+    every = breaks.select(track, F.explode(F.sequence(F.lit(0), F.size("breaks"))).alias("segment"))
+    zero = {"n": F.lit(0).cast("long"), "residual_median_ms": F.lit(0.0), "residual_max_ms": F.lit(0.0)}
+    return every.join(found, [track, "segment"], "left").select(track, "segment", *(F.coalesce(c, z).alias(c) for c, z in zero.items()))
+
+
+def rate_figures(rates: DataFrame, order: str = "segment", track: str = "track") -> DataFrame:
+    """(track, rate_min, rate_max, rate_mean, max_abs_rate_deviation_ppm, max_rate_change_ppm) of each track's local ``rate`` rows."""
+    w = Window.partitionBy(track).orderBy(order)
+    turned = rates.withColumn("turn", F.abs(F.col("rate") - F.lag("rate").over(w)))
+    return turned.groupBy(track).agg(
+        F.min("rate").alias("rate_min"), F.max("rate").alias("rate_max"), F.avg("rate").alias("rate_mean"),
+        (F.max(F.abs(F.col("rate") - 1.0)) * 1e6).alias("max_abs_rate_deviation_ppm"), (F.coalesce(F.max("turn"), F.lit(0.0)) * 1e6).alias("max_rate_change_ppm"),
+    )

@@ -161,19 +161,13 @@ def selection_summary(spark, sf_dir):
     return c.groupBy("track").agg(F.count("*").alias("n"), S.micro(F.min("local_start")).alias("first_start"), S.micro(F.median("local_start")).alias("middle"), S.micro(F.max("local_end")).alias("last_end"), F.countDistinct("bin_index").alias("bins"))
 
 
-_SNR = f"""{TYPE_SERIES_SQL}, clips AS (SELECT DISTINCT track, k, k * 200.0::DOUBLE + 50 AS a, k * 200.0::DOUBLE + 90 AS b FROM (SELECT DISTINCT track FROM s), range(3) r(k)),
+_SNR = f"""{TYPE_SERIES_SQL}, kk AS (SELECT track, unnest(range(CAST(floor(max(idx) / 200) AS BIGINT) + 1)) AS k FROM s GROUP BY track), clips AS (SELECT track, k, k * 200.0::DOUBLE + 50 AS a, k * 200.0::DOUBLE + 90 AS b FROM kk),
 j AS (SELECT clips.track, k, v, idx, a, b FROM clips JOIN s ON s.track = clips.track AND idx >= a - 1 AND idx < b + 1),
 g AS (SELECT track, k, avg(v * v) FILTER (idx >= a AND idx < b) AS sig, avg(v * v) FILTER ((idx >= a - 1 AND idx < a) OR (idx >= b AND idx < b + 1)) AS noise FROM j GROUP BY ALL)"""
 
 
 @query(f"WITH {_SNR} SELECT clips.track, clips.k, {M('CASE WHEN sig IS NOT NULL AND noise IS NOT NULL THEN 20 * log10(greatest(sqrt(sig + 1e-18::DOUBLE), 1e-9::DOUBLE) / greatest(sqrt(noise + 1e-18::DOUBLE), 1e-9::DOUBLE)) END')} AS snr_db FROM clips LEFT JOIN g ON g.track = clips.track AND g.k = clips.k")
 def local_snr(spark, sf_dir):
-    s = type_series(spark, sf_dir)
-    return _snr(s, s.select("track").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))))
-
-
-@query()
-def local_snr_whole(spark, sf_dir):
     s = type_series(spark, sf_dir)
     return _snr(s, _every_clip(s))
 
@@ -189,7 +183,11 @@ def _snr(s, clips):
     return anchors.local_snr(s, clips, 1.0, ["track", "k"]).select("track", "k", S.micro("snr_db").alias("snr_db"))
 
 
-@query()
+@query(f"""WITH {TYPE_SERIES_SQL}, x AS (SELECT track, idx // 200 AS k, idx % 200 AS j, v FROM s WHERE idx % 200 < 128), g AS (SELECT track, k, avg(v) AS m, count(*) AS n FROM x GROUP BY ALL),
+c AS (SELECT x.track, x.k, j, v - m AS v, n FROM x JOIN g ON g.track = x.track AND g.k = x.k), b AS (SELECT track, k, unnest(range(1, n // 2 + 1)) AS q FROM g),
+p AS (SELECT c.track, c.k, q, sum(v * cos(2 * pi() * q * j / n)) ** 2 + sum(v * sin(2 * pi() * q * j / n)) ** 2 + 1e-18::DOUBLE AS power FROM c JOIN b ON b.track = c.track AND b.k = c.k GROUP BY ALL),
+f AS (SELECT track, k, exp(avg(ln(power))) / avg(power) AS f FROM p GROUP BY ALL), z AS (SELECT track, k, max(abs(v)) AS top FROM c GROUP BY ALL)
+SELECT g.track, g.k, {M('CASE WHEN top = 0 OR f IS NULL THEN 1.0::DOUBLE ELSE greatest(0, least(1, f)) END')} AS spectral_flatness FROM g JOIN z ON z.track = g.track AND z.k = g.k LEFT JOIN f ON f.track = g.track AND f.k = g.k""")
 def spectral_flatness(spark, sf_dir):
     s = type_series(spark, sf_dir)
     clips = _every_clip(s).select("track", "k", (F.col("k") * 200.0).alias("clip_start"), (F.col("k") * 200.0 + 128).alias("clip_end"))

@@ -18,7 +18,9 @@ from ..config import AnchorMatching, AnchorSelection, DriftModel, OffsetSafety
 from ..functions import scalar as S
 from ..functions.signal import ncc, peak_report, resample
 from ..sources.staging import removed, written
-from ..operators import activity, anchors, correlate, drift, local_adjust, nonlinear, report, series, timeline
+from ..operators import activity, anchors, correlate, drift, local_adjust, nonlinear, render, report, series
+
+from .progress import Progress
 
 #: Samples of a chunk of a series, and of a block of the reference.
 CHUNK, BLOCK = 16_384, 262_144
@@ -38,6 +40,10 @@ class Options:
     #: A line this far from rate one is only rendered if ``accept_stretch``.
     stretch_warning: float = 0.003
     accept_stretch: bool = False
+    #: How samples are placed: ``resample``, a registered stretcher, or a method that follows a time map.
+    stretch_method: str = "resample"
+    verbose: bool = False
+    language: str = "en"
 
 
 @dataclass
@@ -52,6 +58,10 @@ class Alignment:
     selected: DataFrame
     rendered: DataFrame
     issues: DataFrame
+    render_info: DataFrame
+    regions: DataFrame
+    reports: DataFrame
+    document: DataFrame
     kept: list[str] = field(default_factory=list)
 
     def release(self) -> None:
@@ -125,10 +135,18 @@ def _safe_offsets(estimates: DataFrame, tracks: DataFrame, chunks: DataFrame, re
     return both.select("track", "total", "offset_seconds", "confidence", "band", "fallback_selected", F.col("r.radius").alias("radius"), F.col("r.reason").alias("radius_reason"), F.filter(flags, lambda x: x.isNotNull()).alias("flags"))
 
 
-def align(samples: DataFrame, reference: DataFrame, options: Options | None = None) -> Alignment:
-    """Align every track of ``samples`` (track, idx, v) to ``reference`` (idx, v)."""
+#: Stages that report their end.
+STAGES = ("activity", "anchors", "offsets", "matches", "models", "reports")
+
+
+def align(samples: DataFrame, reference: DataFrame, options: Options | None = None, progress=None, event=None) -> Alignment:
+    """Align every track of ``samples`` (track, idx, v) to ``reference`` (idx, v).
+
+    ``progress(percent, seconds_left, stage)`` and ``event(line)`` are called as stages end.
+    """
     o = options or Options()
     kept: list[str] = []
+    steps = Progress(len(STAGES), progress, event)
 
     def keep(df: DataFrame) -> DataFrame:
         out, path = written(df, "align")
@@ -141,8 +159,10 @@ def align(samples: DataFrame, reference: DataFrame, options: Options | None = No
     master_total = ref.agg(((F.max("idx") + 1) / F.lit(float(rate))).alias("master_total"))
     tracks = keep(totals.join(F.broadcast(master_total), F.lit(True)))  # one row of the reference
     segments = keep(activity.detect(samples, rate, o.strategy))
+    steps.step("activity")
     candidates = keep(anchors.candidates(samples, segments, totals, rate, o.selection))
     chosen = keep(anchors.select(candidates, o.selection))
+    steps.step("anchors")
 
     chunks, ref_chunks = keep(correlate.chunked(samples, CHUNK)), keep(correlate.chunked(ref, CHUNK))
     i0 = S.truncated(F.col("local_start") * rate)
@@ -158,21 +178,32 @@ def align(samples: DataFrame, reference: DataFrame, options: Options | None = No
     estimates = keep(correlate.initial_offsets(ordered, keep(blocks), rate))
     offsets = keep(_safe_offsets(estimates, tracks, chunks, ref_chunks, rate, o.safety, keep))
 
+    steps.step("offsets")
     near = clips.join(offsets.where("radius > 0").select("track", "offset_seconds", "radius"), "track")
     expected = F.col("local_start") + F.col("offset_seconds")
     near = near.withColumn("i0", F.greatest(F.lit(0), S.truncated((expected - F.col("radius")) * rate))).withColumn("i1", S.truncated((expected + F.col("radius")) * rate) + F.size("clip") - 1)
-    near = near.withColumn("asker", F.col("track")).withColumn("track", F.lit("ref"))
-    asked = correlate.windows(ref_chunks, near, CHUNK, ["asker", "segment_id"], out="search")
-    pairs = asked.select(F.col("asker").alias("track"), "segment_id", "local_start", "local_end", "anchor_confidence", "clip", "search", F.col("first").alias("search_first"))
-    matches = keep(correlate.match(pairs, rate, o.matching, key))
-    if o.safety.master_vad_filter_enabled:
-        matches = correlate.activity_checked(matches, activity.detect(ref, rate, o.strategy), o.safety, key)
+    active = keep(activity.detect(ref, rate, o.strategy))
+    # an empty list is as good as none: activity may have been missed on a quiet reference
+    filtered, heard = o.safety.master_vad_filter_enabled, not active.isEmpty()
+    if filtered and not heard and o.safety.master_vad_uncertain_policy == "reject":
+        asked = near.crossJoin(F.broadcast(master_total)).withColumn("expected", expected).withColumn("clip_seconds", F.size("clip") / F.lit(float(rate)))  # one row of the reference
+        matches = correlate.unmatched(asked, "master_total", key)
+    else:
+        near = near.withColumn("asker", F.col("track")).withColumn("track", F.lit("ref"))
+        asked = correlate.windows(ref_chunks, near, CHUNK, ["asker", "segment_id"], out="search")
+        pairs = asked.select(F.col("asker").alias("track"), "segment_id", "local_start", "local_end", "anchor_confidence", "clip", "search", F.col("first").alias("search_first"))
+        matches = correlate.match(pairs, rate, o.matching, key, active if filtered and heard else None, o.safety, keep)
     matches = keep(matches.withColumnRenamed("segment_id", "match_id"))
+    steps.step("matches")
 
     models, judged = map(keep, drift.fit_linear(matches, o.matching.min_confidence_for_fit))
-    selected = keep(nonlinear.select_models(models, judged, o.drift, totals))
+    gaps = keep(drift.unsupported(judged, o.drift.max_anchor_gap_seconds))
+    selected = keep(nonlinear.with_gaps(nonlinear.select_models(models, judged, o.drift, totals), gaps))
+    judged = keep(nonlinear.remarked(judged, selected))
+    steps.step("models")
     confirmed = models if o.accept_stretch else models.where(F.abs(F.col("stretch_ratio") - 1.0) <= o.stretch_warning)
-    rendered = timeline.render_linear(samples, confirmed, tracks.select("track", "master_total"), rate, rate)
+    made = render.render(samples, selected.join(confirmed.select("track"), "track", "left_semi"), tracks, rate, o.stretch_method, stage=keep)
+    rendered = made.samples
     adjust_issues = report.issues_of(models, 40, "warning", "LOCAL_ADJUST", "local_adjust disabled")
     if o.local_adjust:
         silence = series.complement(activity.detect(rendered.select("track", F.col("i").alias("idx"), "v"), rate, "rms"), tracks.select("track", F.col("master_total").alias("total")))
@@ -180,15 +211,31 @@ def align(samples: DataFrame, reference: DataFrame, options: Options | None = No
         rendered = local_adjust.shifted(rendered.select("track", F.col("i").alias("idx"), "v"), found, rate).select("track", F.col("idx").alias("i"), "v")
         adjust_issues = report.issues_of(missing, 40, "warning", "LOCAL_ADJUST", F.col("message"))
 
-    gaps = drift.unsupported(judged, o.drift.max_anchor_gap_seconds)
-    fit = drift.fit_warnings(drift.diagnostics(models, judged, totals), gaps)
+    words = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
+    diag = drift.diagnostics(models, judged, totals)
+    own = selected.select("track", F.explode("warnings").alias("w")).where(F.col("w") != nonlinear.GAP_CODE)
+    fit = drift.fit_warnings(diag, gaps)
+    sparse = anchors.coverage(candidates, chosen, totals, o.selection)
+    rejected = matches.where(F.col("rejected_reason").startswith("master_vad")).groupBy("track").agg(F.count("*").alias("n"))
+    silent = tracks.select("track").where(F.lit(filtered and not heard))
     issues = (
-        report.model_issues(totals, models)
-        .unionByName(report.issues_of(selected.select("track", F.explode("warnings").alias("w")), 10, "warning", F.col("w"), F.lower(F.replace(F.col("w"), F.lit("_"), F.lit(" ")))))
-        .unionByName(report.issues_of(fit, 20, "warning", F.col("code"), F.lower(F.replace(F.col("code"), F.lit("_"), F.lit(" "))), F.col("time_seconds")))
+        report.model_issues(totals, selected)
+        .unionByName(report.issues_of(own, 10, "warning", F.col("w"), words(F.col("w"))))
+        .unionByName(report.issues_of(fit, 20, "warning", F.col("code"), words(F.col("code")), F.col("time_seconds")))
+        .unionByName(report.issues_of(sparse, 30, "warning", F.col("code"), words(F.col("code")), F.col("time_seconds")))
         .unionByName(adjust_issues)
         .unionByName(report.safety_issues(offsets.select("track", F.explode("flags").alias("flag")), 50))
+        .unionByName(report.issues_of(rejected, 60, "warning", "MASTER_VAD_ANCHOR_REJECTED", report.worded("warnings.master_vad_anchor_rejected", o.language, count=F.col("n"))))
+        .unionByName(report.issues_of(silent, 70, "warning", "MASTER_VAD_NO_SPEECH_SEGMENTS", report.worded("warnings.master_vad_no_speech_segments", o.language)))
     )
-    rejected = matches.where(F.col("rejected_reason").startswith("master_vad")).groupBy("track").agg(F.count("*").alias("n"))
-    issues = issues.unionByName(report.issues_of(rejected, 60, "warning", "MASTER_VAD_ANCHOR_REJECTED", F.format_string("%d anchors were rejected because the reference is inactive there.", "n")))
-    return Alignment(segments, chosen, offsets, judged, models, selected, rendered, report.distinct_issues(issues), kept)
+    issues = keep(report.distinct_issues(issues))
+    facts = tracks.join(report.counts(segments, "speech_segment_count"), "track", "left").join(report.counts(chosen, "anchor_count_selected"), "track", "left")
+    facts = facts.join(offsets.select("track", F.struct("offset_seconds", "confidence", "band", "fallback_selected", "radius", "radius_reason").alias("initial_offset")), "track", "left")
+    facts = facts.join(made.info.select("track", F.struct("render_method", "n", "min_step", "rising").alias("global_correction")), "track", "left")
+    reports = keep(report.track_reports(facts, selected, judged, issues, made.regions, diag, o.verbose))
+    analysis = {"sample_rate": rate, "channels": "mono", "language": o.language, "vad": o.strategy, "report_detail_level": "verbose" if o.verbose else "default", "verbose_report": o.verbose}
+    if o.verbose:
+        analysis["configuration_snapshot"] = {n: getattr(o, n).as_dict() for n in ("selection", "matching", "safety", "drift")}
+    steps.step("reports")
+    document = report.document(analysis, master_total, reports, issues)
+    return Alignment(segments, chosen, offsets, judged, models, selected, rendered, issues, made.info, made.regions, reports, document, kept)

@@ -106,15 +106,10 @@ def piecewise_predict(spark, sf_dir):
     return observations(spark, sf_dir).select("track", "match_id", S.micro(made).alias("master_start"))
 
 
-@query(f"""WITH {USER_SERIES_SQL}, d AS (SELECT track, idx, v / 1e6 AS c FROM s WHERE idx BETWEEN 1 AND 5), r AS (SELECT track, idx, 1.0 + sum(c) OVER (PARTITION BY track ORDER BY idx ROWS UNBOUNDED PRECEDING) AS rate FROM d)
+@query(f"""WITH {USER_SERIES_SQL}, d AS (SELECT track, idx, v / 1e6 AS c FROM s WHERE idx >= 1), r AS (SELECT track, idx, 1.0 + sum(c) OVER (PARTITION BY track ORDER BY idx ROWS UNBOUNDED PRECEDING) AS rate FROM d)
 SELECT track, idx AS segment, {M('rate')} AS rate FROM r UNION ALL SELECT DISTINCT track, 0, 1.0::DOUBLE FROM d""")
 def segment_rates(spark, sf_dir):
-    return _rates(user_series(spark, sf_dir).where("idx BETWEEN 1 AND 5"))
-
-
-@query()
-def segment_rates_whole(spark, sf_dir):
-    return _rates(user_series(spark, sf_dir).where("idx >= 1"))
+    return _rates(user_series(spark, sf_dir).where("idx >= 1"))  # the first event has no change before it
 
 
 def _rates(s):
@@ -128,11 +123,9 @@ def _rates(s):
 _SO, _SR, _OB, _PO, _PR = 0.05, 0.01, 0.2, 1.0, 0.1
 
 
-def _filtered(spark, sf_dir, whole: bool = False):
-    """States of each user's series; of its first 40 events only, as in the SQL, unless ``whole``."""
-    s = user_series(spark, sf_dir)
-    s = s if whole else s.where("idx < 40")
-    rows = s.select("track", F.col("idx").cast("double").alias("t"), (F.col("v") / 1e4).alias("z"), ((F.col("v") % 10 + 1) / 11.0).alias("confidence"), F.lit(0.25).alias("first_offset"), F.lit(0.001).alias("first_rate"))
+def _filtered(spark, sf_dir):
+    """States of each user's series."""
+    rows = user_series(spark, sf_dir).select("track", F.col("idx").cast("double").alias("t"), (F.col("v") / 1e4).alias("z"), ((F.col("v") % 10 + 1) / 11.0).alias("confidence"), F.lit(0.25).alias("first_offset"), F.lit(0.001).alias("first_rate"))
     return drift.kalman_forward(rows, _SO, _SR, _OB, _PO, _PR)
 
 
@@ -145,7 +138,7 @@ def _uncertainty(df):
     return df.groupBy("track").agg(S.micro(F.median(sd)).alias("median_offset_std_ms"), S.micro(F.max(sd)).alias("max_offset_std_ms"))
 
 
-_KALMAN = f"""WITH RECURSIVE {USER_SERIES_SQL}, ob AS (SELECT track, CAST(idx AS BIGINT) AS n, v / 1e4 AS z, ({_OB}::DOUBLE / ((v % 10 + 1) / 11.0::DOUBLE)) ** 2 AS noise FROM s WHERE idx < 40),
+_KALMAN = f"""WITH RECURSIVE {USER_SERIES_SQL}, ob AS (SELECT track, CAST(idx AS BIGINT) AS n, v / 1e4 AS z, ({_OB}::DOUBLE / ((v % 10 + 1) / 11.0::DOUBLE)) ** 2 AS noise FROM s),
 kf AS (SELECT track, n, 0.25::DOUBLE AS po, 0.001::DOUBLE AS pr, ({_PO}::DOUBLE) ** 2 AS q00, 0.0::DOUBLE AS q01, ({_PR}::DOUBLE) ** 2 AS q11,
   0.25::DOUBLE + {_PO}::DOUBLE ** 2 / ({_PO}::DOUBLE ** 2 + noise) * (z - 0.25::DOUBLE) AS o, 0.001::DOUBLE AS r, (1 - {_PO}::DOUBLE ** 2 / ({_PO}::DOUBLE ** 2 + noise)) * {_PO}::DOUBLE ** 2 AS p00, 0.0::DOUBLE AS p01, {_PR}::DOUBLE ** 2 AS p11 FROM ob WHERE n = 0
 UNION ALL SELECT track, n, po, pr, q00, q01, q11, po + q00 / (q00 + noise) * (z - po), pr + q01 / (q00 + noise) * (z - po), (1 - q00 / (q00 + noise)) * q00, (1 - q00 / (q00 + noise)) * q01, q11 - q01 / (q00 + noise) * q01
@@ -157,11 +150,6 @@ def kalman_forward(spark, sf_dir):
     return _states(_filtered(spark, sf_dir))
 
 
-@query()
-def kalman_forward_whole(spark, sf_dir):
-    return _states(_filtered(spark, sf_dir, whole=True))
-
-
 @query(f"""{_KALMAN}, top AS (SELECT track, max(n) AS last FROM kf GROUP BY track), gn AS (SELECT a.track, a.n, a.o, a.r, a.p00, a.p01, a.p11, b.po, b.pr, b.q00, b.q01, b.q11, b.q00 * b.q11 - b.q01 * b.q01 AS det FROM kf a JOIN kf b ON b.track = a.track AND b.n = a.n + 1),
 gg AS (SELECT *, ((p00 + p01) * q11 - p01 * q01) / det AS g00, (p01 * q00 - (p00 + p01) * q01) / det AS g01, ((p01 + p11) * q11 - p11 * q01) / det AS g10, (p11 * q00 - (p01 + p11) * q01) / det AS g11 FROM gn),
 sm AS (SELECT kf.track, n, o AS so, r AS sr, p00 AS s00, p01 AS s01, p11 AS s11 FROM kf JOIN top ON top.track = kf.track AND n = last
@@ -172,19 +160,44 @@ def rts_smooth(spark, sf_dir):
     return _states(drift.rts_smooth(_filtered(spark, sf_dir)))
 
 
-@query()
-def rts_smooth_whole(spark, sf_dir):
-    return _states(drift.rts_smooth(_filtered(spark, sf_dir, whole=True)))
-
-
 @query(f"""{_KALMAN} SELECT track, {M('median(sqrt(greatest(p00, 0)) * 1e3)')} AS median_offset_std_ms, {M('max(sqrt(greatest(p00, 0)) * 1e3)')} AS max_offset_std_ms FROM kf GROUP BY track""")
 def uncertainty_summary(spark, sf_dir):
     return _uncertainty(_filtered(spark, sf_dir))
 
 
-@query()
-def uncertainty_summary_whole(spark, sf_dir):
-    return _uncertainty(_filtered(spark, sf_dir, whole=True))
+@query(f"{_KALMAN} SELECT track, n, {M('n + o')} AS master_t, {M('n + o - sqrt(greatest(p00, 0))')} AS low, {M('n + o + sqrt(greatest(p00, 0))')} AS high FROM kf")
+def uncertainty_band(spark, sf_dir):
+    b = drift.uncertainty_band(_filtered(spark, sf_dir))
+    return b.select("track", F.col("n").cast("long").alias("n"), *(S.micro(c).alias(c) for c in ("master_t", "low", "high")))
+
+
+@query(f"""{_FIT}, sg AS (SELECT track, CASE WHEN local_start >= 1600 THEN 2 WHEN local_start >= 800 THEN 1 ELSE 0 END AS segment, abs(r) AS r FROM judged WHERE included), ev AS (SELECT track, unnest([0, 1, 2]) AS segment FROM (SELECT DISTINCT track FROM m))
+SELECT ev.track, ev.segment, count(r) AS n, coalesce({K('median(r)')}, 0.0) AS residual_median_ms, coalesce({K('max(r)')}, 0.0) AS residual_max_ms FROM ev LEFT JOIN sg ON sg.track = ev.track AND sg.segment = ev.segment GROUP BY ev.track, ev.segment""")
+def segment_residuals(spark, sf_dir):
+    _, judged = _fit(spark, sf_dir)
+    breaks = judged.select("track").distinct().withColumn("breaks", F.array(F.lit(800.0), F.lit(1600.0)))
+    out = drift.segment_residuals(judged, breaks)
+    return out.select("track", "segment", "n", milli("residual_median_ms").alias("residual_median_ms"), milli("residual_max_ms").alias("residual_max_ms"))
+
+
+@query(f"""WITH {USER_SERIES_SQL}, t AS (SELECT track, 1 + (v - 2500) / 1e6::DOUBLE AS rate, abs((v - lag(v) OVER (PARTITION BY track ORDER BY idx)) / 1e6::DOUBLE) AS turn FROM s)
+SELECT track, {M('min(rate)')} AS rate_min, {M('max(rate)')} AS rate_max, {M('avg(rate)')} AS rate_mean, {K('max(abs(rate - 1)) * 1e6')} AS max_abs_rate_deviation_ppm, {K('coalesce(max(turn), 0) * 1e6')} AS max_rate_change_ppm FROM t GROUP BY track""")
+def rate_figures(spark, sf_dir):
+    """Spread and turns of local rates: every event is a segment's rate."""
+    rates = user_series(spark, sf_dir).select("track", F.col("idx").alias("segment"), (F.lit(1.0) + (F.col("v") - 2500.0) / 1e6).alias("rate"))
+    out = drift.rate_figures(rates)
+    return out.select("track", *(S.micro(c).alias(c) for c in ("rate_min", "rate_max", "rate_mean")), *(milli(c).alias(c) for c in ("max_abs_rate_deviation_ppm", "max_rate_change_ppm")))
+
+
+@query(f"""{_FIT}, o AS (SELECT *, CASE WHEN track % 2 = 0 THEN (master_start - (1 + 1.0002::DOUBLE * local_start)) * 1000 ELSE r END AS res, track % 2 = 0 AND included AND (local_start < 300 OR local_start > 2000) AS beyond FROM judged)
+SELECT track, included AND NOT beyond AS included, CASE WHEN beyond THEN coalesce(reason, 'outside_spline_support') ELSE reason END AS reason, count(*) AS n, {K('max(abs(res))')} AS top_ms FROM o GROUP BY ALL""")
+def support_marks(spark, sf_dir):
+    """Matches that a selected map doesn't reach, and the residuals it leaves: splines for every other track."""
+    models, judged = _fit(spark, sf_dir)
+    piece = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("a"), F.lit(1.0002).alias("b"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
+    selected = models.select("track", F.when(F.col("track") % 2 == 0, "spline").otherwise("linear").alias("model_type"), F.array(piece).alias("pieces"), F.lit(300.0).alias("support_start"), F.lit(2000.0).alias("support_end"))
+    out = nonlinear.remarked(judged, selected)
+    return out.groupBy("track", F.col("included_in_regression").alias("included"), F.col("rejected_reason").alias("reason")).agg(F.count("*").alias("n"), F.max(F.abs("residual_ms")).alias("top_ms")).withColumn("top_ms", milli("top_ms"))
 
 
 # Selection ------------------------------------------------------------------------
@@ -192,7 +205,7 @@ def uncertainty_summary_whole(spark, sf_dir):
 
 def _selected(spark, sf_dir, model: str):
     """A bent map: the observations' reference runs faster in the second half."""
-    o = observations(spark, sf_dir, 10, every_line=True)
+    o = observations(spark, sf_dir, 10)
     late = F.greatest(F.lit(0.0), F.col("local_start") - 2300.0)
     w = o.groupBy("track", "local_start").agg(F.min("match_id").alias("match_id"), F.min_by("confidence", "match_id").alias("confidence"), F.min_by("master_start", "match_id").alias("master_start"))
     w = w.withColumn("master_start", F.lit(0.75) + F.col("local_start") * 1.0001 + late * 0.0003 + (F.col("match_id") % 5 - 2) * 0.002)
@@ -211,7 +224,16 @@ def model_selection_auto(spark, sf_dir):
     return _report(_selected(spark, sf_dir, "auto"))
 
 
-@query()
+_BENT = (
+    _FIT.replace("o_custkey % 40", "o_custkey % 10")
+    .replace(", e0 AS", ", o1 AS (SELECT track, local_start, min(match_id) AS match_id, arg_min(confidence, match_id) AS confidence FROM m GROUP BY track, local_start), obs1 AS (SELECT track, match_id, local_start, confidence, 0.75::DOUBLE + local_start * 1.0001::DOUBLE + greatest(0, local_start - 2300) * 0.0003::DOUBLE + (match_id % 5 - 2) * 0.002::DOUBLE AS master_start FROM o1), e0 AS", 1)
+    .replace("FROM m WHERE confidence >= 0.05", "FROM obs1 WHERE confidence >= 0.05")
+    .replace("FROM m LEFT JOIN model", "FROM obs1 m LEFT JOIN model")
+)
+
+
+@query(f"""{_BENT}, rs AS (SELECT track, median(abs(r)) AS mid, max(abs(r)) AS top FROM judged WHERE included GROUP BY track)
+SELECT track, 'linear' AS model_type, 'linear_requested' AS model_selection_policy, 'linear' AS candidate_models, n AS anchor_count, {K('mid')} AS residual_median_ms, {K('top')} AS residual_max_ms, 0 AS n_warnings, false AS fell_back FROM model JOIN rs USING (track)""")
 def model_selection_linear(spark, sf_dir):
     return _report(_selected(spark, sf_dir, "linear"))
 

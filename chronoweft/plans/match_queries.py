@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import AnchorMatching, OffsetSafety
 from ..functions import scalar as S
 from ..operators import correlate
+from ..operators.series import numbered
 from ..sources.tables import table
 from .activity_queries import M
 from .registry import query
@@ -90,6 +92,9 @@ _OFFSETS = """o AS (SELECT o_orderkey, (o_custkey % 101) / 100.0::DOUBLE AS conf
 b AS (SELECT *, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.25 THEN 'low' ELSE 'failed' END AS band FROM o)"""
 
 
+_D = "format('{{:.3f}}', round_even(({}) * 1000, 0) / 1000)".format
+
+
 def _offsets(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     o = table(spark, sf_dir, "orders").select(k, ((c % 101) / 100.0).alias("confidence"), (k % 5 == 0).alias("fallback"), ((k % 89) / 88.0).alias("fb"), F.when(c % 4 != 0, (k % 31) / 100.0).alias("margin"))
@@ -105,18 +110,10 @@ def offset_band_radius(spark, sf_dir):
 
 
 @query(f"""WITH {_OFFSETS} SELECT o_orderkey, (fb >= 0.5 AND coalesce(margin >= 0.10, true) AND (fb - confidence >= 0.15 OR band = 'failed')) AS accepted,
-concat_ws('; ', CASE WHEN fb < 0.5 THEN format('fallback confidence {{:.3f}} < 0.500', fb) END, CASE WHEN margin < 0.10 THEN format('peak margin {{:.3f}} < 0.100', margin) END,
- CASE WHEN fb - confidence < 0.15 THEN format('confidence advantage {{:.3f}} < 0.150', fb - confidence) END) AS objections FROM b WHERE o_orderkey % 89 <> 44""")
+concat_ws('; ', CASE WHEN fb < 0.5 THEN 'confidence ' || {_D('fb')} || ' is below 0.500' END, CASE WHEN margin < 0.10 THEN 'peak margin ' || {_D('margin')} || ' is below 0.100' END,
+ CASE WHEN fb - confidence < 0.15 THEN 'gain over the anchors ' || {_D('fb - confidence')} || ' is below 0.150' END) AS objections FROM b""")
 def fallback_gate(spark, sf_dir):
-    return _gate(_offsets(spark, sf_dir).where("o_orderkey % 89 <> 44"))  # as in the SQL; fallback_gate_whole has all orders
-
-
-@query()
-def fallback_gate_whole(spark, sf_dir):
-    return _gate(_offsets(spark, sf_dir))
-
-
-def _gate(o):
+    o = _offsets(spark, sf_dir)
     return o.select("o_orderkey", S.fallback_accepted("fb", "margin", "confidence", SAFE).alias("accepted"), S.fallback_objections("fb", "margin", "confidence", SAFE).alias("objections"))
 
 
@@ -136,7 +133,14 @@ def peak_prominence(spark, sf_dir):
     return p.select("vec_id", "p.best_lag", *(S.micro(f"p.{c}").alias(c) for c in ("best_score", "margin", "prominence", "width_samples")))
 
 
-@query()
+_PAIRS = """f AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings), t AS (SELECT vec_id - 1 AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings), pr AS (SELECT f.vec_id, f, s FROM f JOIN t USING (vec_id)),
+fx AS (SELECT vec_id, unnest(f) AS x, unnest(range(len(f))) AS j FROM pr), sx AS (SELECT vec_id, unnest(s) AS x, unnest(range(len(s))) AS j FROM pr), bins AS (SELECT unnest(range(128)) AS q)"""
+
+
+@query(f"""WITH {_PAIRS}, ff AS (SELECT vec_id, q, sum(x * cos(2 * pi() * q * j / 128)) AS re, -sum(x * sin(2 * pi() * q * j / 128)) AS im FROM fx, bins GROUP BY ALL), sf AS (SELECT vec_id, q, sum(x * cos(2 * pi() * q * j / 128)) AS re, -sum(x * sin(2 * pi() * q * j / 128)) AS im FROM sx, bins GROUP BY ALL),
+cr AS (SELECT vec_id, q, sf.re * ff.re + sf.im * ff.im AS re, sf.im * ff.re - sf.re * ff.im AS im FROM sf JOIN ff USING (vec_id, q)), nm AS (SELECT vec_id, q, re / greatest(sqrt(re * re + im * im), 1e-8::DOUBLE) AS re, im / greatest(sqrt(re * re + im * im), 1e-8::DOUBLE) AS im FROM cr),
+lg AS (SELECT vec_id, lag, sum(re * cos(2 * pi() * q * lag / 128) - im * sin(2 * pi() * q * lag / 128)) / 128 AS g FROM nm, (SELECT unnest(range(49)) AS lag) GROUP BY ALL)
+SELECT vec_id, {M('max(g)')} AS peak, arg_max(lag, g) AS lag FROM lg GROUP BY vec_id""")
 def gcc_phat(spark, sf_dir):
     """Best lag of the phase correlation of the same pairs."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -145,3 +149,24 @@ def gcc_phat(spark, sf_dir):
     return g.select("vec_id", S.micro("g.peak").alias("peak"), "g.lag")
 
 
+
+
+_TRIED = """a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS copy FROM lineitem),
+tr AS (SELECT l_orderkey, l_linenumber, copy, rank, (l_partkey * 7 + rank * 131) % 9000 / 10.0::DOUBLE AS x, (l_partkey * 7 + rank * 131) % 9000 / 10.0::DOUBLE + 1 + l_quantity / 25.0::DOUBLE AS y FROM a, (SELECT CAST(unnest(range(5)) AS INTEGER) AS rank)),
+iv AS (SELECT idx * 3.0::DOUBLE AS a, idx * 3.0::DOUBLE + 0.4 + v / 5000.0::DOUBLE AS b FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, p_partkey % 13 * 100 AS v FROM part) WHERE idx * 3 < 1000),
+op AS (SELECT a - 0.25 AS a, b + 0.25 AS b, CASE WHEN a - 0.25 <= max(b + 0.25) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM iv), me AS (SELECT min(a) AS a, max(b) AS b FROM (SELECT *, sum(o) OVER (ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM op) GROUP BY g),
+ov AS (SELECT l_orderkey, l_linenumber, copy, rank, least(1, coalesce(sum(CASE WHEN a IS NOT NULL THEN least(y, b) - greatest(x, a) END), 0) / any_value(y - x)) AS r FROM tr LEFT JOIN me ON x < b AND a < y GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TRIED}, h AS (SELECT l_orderkey, l_linenumber, copy, min(rank) FILTER (r >= 0.25) AS hit, max(r) FILTER (rank = 0) AS first FROM ov GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, copy, coalesce(hit, 0) AS rank, CASE WHEN hit IS NULL THEN CASE WHEN first > 0 THEN 'master_vad_low_overlap_ratio' ELSE 'master_vad_no_overlap' END END AS reason FROM h""")
+def first_active_peak(spark, sf_dir):
+    """Five places for every line item; the first one where the reference (here: parts) is active counts."""
+    key = ["l_orderkey", "l_linenumber", "copy"]
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", copy.cast("long").alias("copy"))
+    at = (F.col("l_partkey") * 7 + F.col("rank") * 131) % 9000 / 10.0
+    tried = a.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(*key, "rank", at.alias("master_start"), (at + 1.0 + F.col("l_quantity") / 25.0).alias("master_end"))
+    p = numbered(table(spark, sf_dir, "part").select(F.lit(0).alias("track"), "p_partkey", (F.col("p_partkey") % 13 * 100).alias("v")), "track", ["p_partkey"]).where("idx * 3 < 1000")
+    active = p.select((F.col("idx") * 3.0).alias("start"), (F.col("idx") * 3.0 + 0.4 + F.col("v") / 5000.0).alias("end"))
+    return correlate.first_active(tried, correlate.padded(active, 0.25), 0.25, key)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import drift, local_adjust, report, series, timeline
-from ..sources import synthetic
+from ..operators import drift, local_adjust, nonlinear, render, report, series, timeline
+from ..config import DriftModel
+from ..sources import locales, synthetic
+from ..sources.staging import staged
 from ..sources.tables import OBSERVATIONS_SQL, USER_SERIES_SQL, observations, user_series
 from .activity_queries import M
 from .fit_queries import _FIT, K, milli
@@ -14,6 +16,8 @@ from .registry import query
 
 # Rendering ------------------------------------------------------------------------
 
+#: Points of the sampled maps of the queries on selected models.
+SELECTED_POINTS = 4096
 _MODEL = "CASE WHEN track % 2 = 0 THEN 1.0008::DOUBLE ELSE 0.75::DOUBLE END AS stretch, (track % 7) * 1.3::DOUBLE - 2 AS off"
 
 
@@ -68,7 +72,11 @@ def unsupported_regions(spark, sf_dir):
     return r.select("track", S.micro("start").alias("start"), S.micro("end").alias("end"), "reason")
 
 
-@query()
+@query(f"""WITH {_TABLE}, la AS (SELECT track, max(idx) AS last FROM s GROUP BY track), md AS (SELECT track, median(step) AS typical FROM st GROUP BY track), g AS (SELECT track, unnest(range(40)) AS i FROM la),
+x AS (SELECT g.track, i, last, CASE WHEN step > typical * 8 AND i * 2.0::DOUBLE > master_t THEN NULL ELSE local_t + (i * 2.0::DOUBLE - master_t) / (me - master_t) * (le - local_t) END AS p
+ FROM g JOIN la ON la.track = g.track JOIN md ON md.track = g.track LEFT JOIN st ON st.track = g.track AND i * 2.0::DOUBLE >= master_t AND i * 2.0::DOUBLE < me),
+q AS (SELECT *, least(floor(p), last) AS lo, least(floor(p) + 1, last) AS hi, p >= 0 AND p <= last + 1e-9 AS ok FROM x)
+SELECT q.track, q.i, {M('CASE WHEN ok THEN a.v + (least(p, last) - lo) * (b.v - a.v) ELSE 0 END')} AS v FROM q LEFT JOIN s a ON a.track = q.track AND a.idx = lo LEFT JOIN s b ON b.track = q.track AND b.idx = hi""")
 def render_map(spark, sf_dir):
     """The same rendering through sampled maps, silent in their gaps."""
     s, t = _table(spark, sf_dir)
@@ -77,6 +85,55 @@ def render_map(spark, sf_dir):
     return timeline.render_table(s, t, ex, 1.0, 0.5, gaps).withColumn("v", S.micro("v"))
 
 
+def _selected(spark, sf_dir):
+    """A model for every user's series: a line, or two pieces with a jump between them for every third."""
+    s = user_series(spark, sf_dir)
+    piece = lambda *v: F.struct(*(F.lit(x).cast("double").alias(n) for n, x in zip("start a b c d".split(), v)))
+    late = 0.5 + 25.5 * 1.25 + 30.0
+    jumps = F.col("track") % 3 == 0
+    pieces = F.when(jumps, F.array(piece(0, 0.5, 1.25, 0, 0), piece(25.5, late, 1.25, 0, 0))).otherwise(F.array(piece(0, 0.5, 1.25, 0, 0)))
+    tracks = s.groupBy("track").agg((F.max("idx") + 1.0).alias("total")).withColumn("total", F.when(F.col("track") % 7 != 5, F.col("total")).otherwise(0.0)).withColumn("master_total", F.lit(80.0))
+    return s, tracks.select("track", F.when(jumps, "piecewise_linear").otherwise("linear").alias("model_type"), pieces.alias("pieces")), tracks
+
+
+_SELECTED = f"""{USER_SERIES_SQL}, ex AS (SELECT track, max(idx) + 1.0::DOUBLE AS total, max(idx) AS last, track % 3 = 0 AND max(idx) + 1 > 25.5 AS jumps FROM s GROUP BY track)"""
+
+
+@query(f"""WITH {_SELECTED}, g AS (SELECT track, last, jumps, unnest(range(40)) AS i FROM ex WHERE track % 7 <> 5), x AS (SELECT *, i * 2.0::DOUBLE AS mt FROM g),
+y AS (SELECT *, CASE WHEN NOT jumps OR mt <= 32.375 THEN (mt - 0.5) / 1.25 WHEN mt >= 62.375 THEN (mt - 30.5) / 1.25 END AS p FROM x),
+q AS (SELECT *, least(floor(p), last) AS lo, least(floor(p) + 1, last) AS hi, p >= 0 AND p <= last + 1e-9 AS ok FROM y)
+SELECT q.track, q.i, {K('CASE WHEN ok THEN a.v + (least(p, last) - lo) * (b.v - a.v) ELSE 0 END')} AS v FROM q LEFT JOIN s a ON a.track = q.track AND a.idx = lo LEFT JOIN s b ON b.track = q.track AND b.idx = hi
+UNION ALL SELECT track, unnest(range(40)), 0.0::DOUBLE FROM ex WHERE track % 7 = 5""")
+def render_selected(spark, sf_dir):
+    """Every series through its own selected map: lines, maps with a jump, and tracks without samples."""
+    s, selected, tracks = _selected(spark, sf_dir)
+    made = render.render(s.where("track % 7 <> 5"), selected, tracks.withColumn("master_total", F.lit(40.0 * 2)), 1.0, points=SELECTED_POINTS, stage=staged).samples
+    return made.where("i % 2 = 0").select("track", (F.col("i") / 2).cast("long").alias("i"), milli("v").alias("v"))
+
+
+@query(f"""WITH {_SELECTED}, f AS (SELECT track, 0.5::DOUBLE AS a, 0.5 + total * 1.25::DOUBLE + CASE WHEN jumps THEN 30 ELSE 0 END AS b, jumps, track % 7 = 5 AS silent FROM ex)
+SELECT track, 0.0::DOUBLE AS start, CASE WHEN silent THEN 80.0::DOUBLE ELSE 0.5::DOUBLE END AS "end", CASE WHEN silent THEN 'empty_source_track' ELSE 'before_drift_model_support' END AS reason FROM f
+UNION ALL SELECT track, {K('b')}, 80.0::DOUBLE, 'after_drift_model_support' FROM f WHERE NOT silent AND b < 80
+UNION ALL SELECT track, 32.375::DOUBLE, 62.375::DOUBLE, 'internal_drift_model_gap' FROM f WHERE NOT silent AND jumps""")
+def silent_regions(spark, sf_dir):
+    """What the selected maps leave silent, jumps found by bisection."""
+    s, selected, tracks = _selected(spark, sf_dir)
+    r = render.render(s.where("track % 7 <> 5"), selected, tracks, 1.0, points=SELECTED_POINTS, stage=staged).regions
+    return r.select("track", milli("start").alias("start"), milli("end").alias("end"), "reason")
+
+
+@query(f"""WITH {_TABLE}, w AS (SELECT track, k, least(CAST(round_even(local_t * 4, 0) AS BIGINT), CAST(max(local_t) OVER (PARTITION BY track) * 4 AS BIGINT)) AS source, CAST(max(local_t) OVER (PARTITION BY track) * 4 AS BIGINT) AS n, CAST(round_even((master_t - 0.5::DOUBLE) * 4, 0) AS BIGINT) AS t0 FROM tb),
+z AS (SELECT *, greatest(1, max(t0) OVER (PARTITION BY track)) AS m FROM w), c AS (SELECT track, k, source, least(t0, m - 1) AS target, n, m FROM z),
+u AS (SELECT *, coalesce(source > max(source) OVER o, true) AND coalesce(target > max(target) OVER o, true) AS up FROM c WHERE source < n WINDOW o AS (PARTITION BY track ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT track, k, source, target FROM u WHERE up UNION ALL SELECT DISTINCT track, 64, n, m FROM c""")
+def time_map_points(spark, sf_dir):
+    """Sampled maps in whole samples, both sides strictly rising, for stretchers that follow a map."""
+    s, t = _table(spark, sf_dir)
+    lengths = s.groupBy("track").agg(((F.max("idx") + 1) * 4).alias("n"))
+    out = timeline.time_map(t, lengths, 4.0)
+    return out.select("track", F.col("k").cast("long").alias("k"), "source", "target")
+
+
 @query(f"WITH {USER_SERIES_SQL} SELECT track, idx + CAST(round_even((track % 7 * 1.3 - 2)::DOUBLE, 0) AS BIGINT) AS i, v FROM s WHERE idx + round_even((track % 7 * 1.3 - 2)::DOUBLE, 0) BETWEEN 0 AND 59")
 def placed_samples(spark, sf_dir):
     s = user_series(spark, sf_dir)
@@ -128,7 +185,11 @@ def local_adjust_events(spark, sf_dir):
     return found.select("track", "match_id", S.micro("split_time").alias("split_time"), milli("shift_seconds").alias("shift_seconds"), S.micro(F.floor(F.col("confidence") * 100 + 0.5) / 100).alias("confidence"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {USER_SERIES_SQL}, sz AS (SELECT track, max(idx) + 1 AS n FROM s GROUP BY track), ev AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY idx) AS k, idx AS c, CAST(v % 7 - 3 AS BIGINT) AS m FROM s WHERE idx % 25 = 10),
+mv AS (SELECT s.track, idx AS home, idx AS p, n, CAST(0 AS BIGINT) AS k FROM s JOIN sz USING (track)
+ UNION ALL SELECT mv.track, home, CASE WHEN p < 0 OR p < c OR c >= n THEN p WHEN m >= 0 THEN CASE WHEN p + m >= n THEN -1 ELSE p + m END ELSE CASE WHEN p + m < c THEN -1 ELSE p + m END END, n, mv.k + 1 FROM mv JOIN ev ON ev.track = mv.track AND ev.k = mv.k + 1),
+fi AS (SELECT mv.track, home, p FROM mv JOIN (SELECT track, count(*) AS z FROM ev GROUP BY track) USING (track) WHERE mv.k = z UNION ALL SELECT s.track, idx, idx FROM s WHERE track NOT IN (SELECT track FROM ev))
+SELECT s.track, s.idx, coalesce(o.v, 0.0) AS v FROM s LEFT JOIN fi ON fi.track = s.track AND fi.p = s.idx LEFT JOIN s o ON o.track = fi.track AND o.idx = fi.home""")
 def local_adjust_shift(spark, sf_dir):
     s = user_series(spark, sf_dir)
     ev = s.where("idx % 25 = 10").select("track", F.col("idx").alias("match_id"), F.col("idx").cast("double").alias("split_time"), (F.col("v") % 7 - 3).alias("shift_seconds"))
@@ -138,8 +199,8 @@ def local_adjust_shift(spark, sf_dir):
 # Issues and reports ----------------------------------------------------------------
 
 
-def _issues(spark, sf_dir, every_line: bool = False):
-    o = observations(spark, sf_dir, 400, every_line).withColumn("master_start", F.col("master_start") + (F.col("match_id") % 13 - 6) * 0.02)
+def _issues(spark, sf_dir):
+    o = observations(spark, sf_dir, 400).withColumn("master_start", F.col("master_start") + (F.col("match_id") % 13 - 6) * 0.02)
     models, judged = drift.fit_linear(o)
     every = o.select("track").distinct().unionByName(o.select((F.col("track") + 1000).alias("track")).where("track < 1005").distinct())
     return every, models, judged
@@ -181,15 +242,55 @@ def marker_csv(spark, sf_dir):
     return report.markers(rows.withColumn("master_start", S.micro("master_start")).withColumn("master_end", S.micro("master_end")))
 
 
-@query()
-def track_report(spark, sf_dir):
-    every, models, judged = _issues(spark, sf_dir, every_line=True)
+@query(f"{_RULES} SELECT track, count(*) AS n, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes FROM iss GROUP BY track")
+def issue_codes(spark, sf_dir):
+    every, models, _ = _issues(spark, sf_dir)
+    return report.codes(report.model_issues(every, models)).select("track", "n", F.array_join("codes", ",").alias("codes"))
+
+
+def _reports(spark, sf_dir):
+    """The reports' rows, the issues, and the reference, of matches fitted by lines."""
+    every, models, judged = map(staged, _issues(spark, sf_dir))
     issues = report.distinct_issues(report.model_issues(every, models))
-    return report.track_report(every, models.select("track", "anchor_count", *(milli(c).alias(c) for c in ("residual_median_ms", "residual_max_ms"))), issues)
+    totals = judged.groupBy("track").agg((F.max("local_start") + 100.0).alias("total"))
+    selected = nonlinear.with_gaps(nonlinear.select_models(models, judged, DriftModel(drift_model="linear"), totals), drift.unsupported(judged, 90.0))
+    none = selected.select("track", F.lit("x").alias("reason")).where(F.lit(False))
+    rows = report.track_reports(every.join(totals, "track", "left"), selected, judged, issues, none, drift.diagnostics(models, judged, totals))
+    return rows, issues, spark.createDataFrame([("reference", 3000.0)], "name string, duration_seconds double")
+
+
+_COUNTS = f"""{_RULES}, jm AS (SELECT track, count(*) AS n, count(*) FILTER (included) AS inc FROM judged GROUP BY track), ic AS (SELECT track, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'error') AS e FROM iss GROUP BY track)"""
+_GET = {
+    "anchor_count": "long", "drift_anchor_match_summary.count": "long", "drift_anchor_match_summary.included_count": "long", "model_type": "string", "model_selection_policy": "string",
+    "model_version": "string", "drift_fit_summary.fitted_anchor_count": "long", "unsupported_region_summary.count": "long",
+}
+
+
+@query(f"""{_COUNTS} SELECT ev.track, al.n AS anchor_count, jm.n AS "drift_anchor_match_summary_count", inc AS "drift_anchor_match_summary_included_count", CASE WHEN al.n IS NOT NULL THEN 'linear' END AS model_type, CASE WHEN al.n IS NOT NULL THEN 'linear_requested' END AS model_selection_policy,
+CASE WHEN al.n IS NOT NULL THEN '1' END AS model_version, al.n AS "drift_fit_summary_fitted_anchor_count", CAST(NULL AS BIGINT) AS "unsupported_region_summary_count", coalesce(w, 0) AS n_warnings, coalesce(e, 0) AS n_errors
+FROM ev LEFT JOIN al USING (track) LEFT JOIN jm USING (track) LEFT JOIN ic USING (track)""")
+def track_report(spark, sf_dir):
+    """Each track's report, read again from its JSON."""
+    rows, _, _ = _reports(spark, sf_dir)
+    size = lambda name: F.json_array_length(F.get_json_object("report", f"$.{name}")).cast("long").alias(f"n_{name}")
+    return rows.select("track", *(F.get_json_object("report", f"$.{n}").cast(t).alias(n.replace(".", "_")) for n, t in _GET.items()), size("warnings"), size("errors"))
+
+
+@query(f"""{_RULES} SELECT 'track' AS kind, CAST(track AS VARCHAR) AS track, '' AS code FROM ev UNION ALL SELECT severity, CAST(track AS VARCHAR), code FROM iss UNION ALL SELECT 'report', 'reference', 'alignment_diagnostics'""")
+def report_document(spark, sf_dir):
+    """The whole report, line by line, read again: its head, its tracks, its warnings and errors."""
+    rows, issues, master = _reports(spark, sf_dir)
+    lines = report.document({"sample_rate": 16000}, master, rows, issues)
+    text = F.regexp_replace("line", "^,", "")
+    get = lambda path: F.get_json_object(text, path)
+    head = lines.where("part = 0").select(F.lit("report").alias("kind"), F.regexp_extract("line", r'"name":"([^"]*)"', 1).alias("track"), F.regexp_extract("line", r'"report_type":"([^"]*)"', 1).alias("code"))
+    tracks = lines.where("part = 1").select(F.lit("track").alias("kind"), get("$.name").alias("track"), F.lit("").alias("code"))
+    found = lines.where("part IN (3, 5)").select(get("$.severity").alias("kind"), get("$.speaker_track").alias("track"), get("$.code").alias("code"))
+    return head.unionByName(tracks).unionByName(found)
 
 
 def _catalog(spark):
-    return spark.createDataFrame([(loc, k, m) for loc, d in report.MESSAGES.items() for k, m in d.items()], "locale string, key string, message string")
+    return locales.catalog(spark)
 
 
 def _quoted(s: str) -> str:

@@ -42,25 +42,15 @@ def interval_complement(spark, sf_dir):
     return _free(spark, sf_dir).select("track", S.micro("start").alias("start"), S.micro("end").alias("end"))
 
 
-@query(f"""WITH {_MERGED}, q AS (SELECT track, idx AS k, idx * 400.0::DOUBLE AS x, idx * 400.0::DOUBLE + 250 AS y FROM s WHERE idx < 10)
+@query(f"""WITH {_MERGED}, q AS (SELECT track, idx AS k, idx * 400.0::DOUBLE AS x, idx * 400.0::DOUBLE + 250 AS y FROM s)
 SELECT q.track, k, {M('least(1, coalesce(sum(CASE WHEN a IS NOT NULL THEN least(y, b) - greatest(x, a) END), 0) / 250.0::DOUBLE)')} AS overlap_ratio
 FROM q LEFT JOIN merged ON q.track = merged.track AND x < b AND a < y GROUP BY q.track, k""")
 def overlap_ratio(spark, sf_dir):
-    iv = _intervals(spark, sf_dir)
-    return _overlaps(iv, iv.where("idx < 10"))
-
-
-@query()
-def overlap_ratio_whole(spark, sf_dir):
     """Every event asks; intervals past the series' end overlap nothing."""
     iv = _intervals(spark, sf_dir)
-    return _overlaps(iv, iv)
-
-
-def _overlaps(iv, asking):
     solid = series.merged(iv).select("track", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     x = F.col("idx") * F.lit(400.0)
-    asked = asking.select("track", F.col("idx").alias("k"), x.alias("l_start"), (x + 250.0).alias("l_end"))
+    asked = iv.select("track", F.col("idx").alias("k"), x.alias("l_start"), (x + 250.0).alias("l_end"))
     return joins.overlap_ratio(asked, solid, 300.0, ["track", "k"]).select("track", "k", S.micro("overlap_ratio").alias("overlap_ratio"))
 
 
@@ -153,7 +143,13 @@ def pchip_eval(spark, sf_dir):
     return joins.pchip_at(points, knots, "t", "x", "y").select("track", "idx", S.micro("value").alias("value"), S.micro("rate").alias("rate"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {USER_SERIES_SQL}, p AS (SELECT track, t, y, row_number() OVER (PARTITION BY track ORDER BY t, y) AS i, count(*) OVER (PARTITION BY track) AS z FROM (SELECT track, idx * 1.5::DOUBLE + v % 7 / 10.0::DOUBLE AS t, v AS y FROM s)),
+nx AS (SELECT a.track, a.i, min(b.i) AS j FROM p a JOIN p b ON b.track = a.track AND b.i > a.i AND b.t - a.t >= 4.0 GROUP BY a.track, a.i),
+kd AS (SELECT track, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n FROM p WHERE i = 1 UNION ALL SELECT kd.track, nx.j, kd.n + 1 FROM kd JOIN nx ON nx.track = kd.track AND nx.i = kd.i),
+en AS (SELECT track, max(n) AS top, max(i) AS tail FROM kd GROUP BY track), zz AS (SELECT DISTINCT track, z FROM p),
+kp AS (SELECT kd.track, kd.i, kd.n FROM kd JOIN en USING (track) JOIN zz USING (track) JOIN p a ON a.track = kd.track AND a.i = tail JOIN p b ON b.track = kd.track AND b.i = zz.z WHERE NOT (kd.n = top AND top > 0 AND b.t > a.t)
+ UNION ALL SELECT en.track, zz.z, CASE WHEN top > 0 THEN top ELSE 1 END FROM en JOIN zz USING (track) JOIN p a ON a.track = en.track AND a.i = tail JOIN p b ON b.track = en.track AND b.i = zz.z WHERE b.t > a.t)
+SELECT kp.track, CAST(n AS INTEGER) AS n, {M('t')} AS t, y FROM kp JOIN p ON p.track = kp.track AND p.i = kp.i""")
 def knot_decimation(spark, sf_dir):
     s = user_series(spark, sf_dir).select("track", (F.col("idx") * 1.5 + F.col("v") % 7 / 10).alias("t"), F.col("v").alias("y"))
     kept = series.decimated(s, "t", "y", 4.0)

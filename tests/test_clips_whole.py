@@ -26,7 +26,7 @@ def series(spark):
 def test_every_event_asks_and_every_segment_has_a_rate(spark, series):
     users, _ = series
     assert max(map(len, users.values())) > 10
-    got = {(r.track, r.k): r.overlap_ratio for r in registry.QUERIES["overlap_ratio_whole"](spark, DATA).collect()}
+    got = {(r.track, r.k): r.overlap_ratio for r in registry.QUERIES["overlap_ratio"](spark, DATA).collect()}
     assert set(got) == {(u, k) for u, v in users.items() for k in range(len(v))}
     for u in sorted(users)[:20]:
         solid = []
@@ -40,7 +40,7 @@ def test_every_event_asks_and_every_segment_has_a_rate(spark, series):
             x, y = k * 400.0, k * 400.0 + 250
             want = min(1.0, sum(max(0.0, min(y, b) - max(x, a)) for a, b in solid) / 250)
             assert abs(got[u, k] - want) < 2e-6
-    got = {(r.track, r.segment): r.rate for r in registry.QUERIES["segment_rates_whole"](spark, DATA).collect()}
+    got = {(r.track, r.segment): r.rate for r in registry.QUERIES["segment_rates"](spark, DATA).collect()}
     want = {(u, k): 1 + sum(v[1 : k + 1]) / 1e6 for u, v in users.items() if len(v) > 1 for k in range(len(v))}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
@@ -48,7 +48,7 @@ def test_every_event_asks_and_every_segment_has_a_rate(spark, series):
 def test_clips_to_the_end(spark, series):
     _, types = series
     flat = {(r.track, r.k): r.spectral_flatness for r in registry.QUERIES["spectral_flatness"](spark, DATA).collect()}
-    snr = {(r.track, r.k): r.snr_db for r in registry.QUERIES["local_snr_whole"](spark, DATA).collect()}
+    snr = {(r.track, r.k): r.snr_db for r in registry.QUERIES["local_snr"](spark, DATA).collect()}
     keys = {(t, k) for t, v in types.items() for k in range((len(v) - 1) // 200 + 1)}
     assert max(k for _, k in keys) > 2 and set(flat) == set(snr) == keys
     for t, k in keys:

@@ -3,7 +3,9 @@
 import json
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweft.config import AnchorSelection, DriftModel, OffsetSafety
 from chronoweft.operators import activity, drift, nonlinear, series, timeline
@@ -95,7 +97,8 @@ def test_kalman_explicit_only(spark):
     m, _, _ = fitted(spark, sway, range(0, 601, 60), cfg)
     p = json.loads(m.parameters)
     assert m.model_type == "kalman" and len(p["offset_std_ms"]) == 11
-    assert abs(nonlinear.Map("kalman", 0, 0, 0, p)([150.0])[0] - sway(150)) < 0.010
+    assert abs(np.interp(150.0, p["knot_local"], p["knot_master"]) - sway(150)) < 0.010
+    assert [r.start for r in m.pieces] == p["knot_local"][:-1]
 
 
 def test_activity(spark):
@@ -117,8 +120,11 @@ def test_inverse_and_jumps(spark):
     points = spark.createDataFrame([("t", i, x) for i, x in enumerate((0.25, 0.5, 0.75, 1.25, 0.1))], "track string, i int, master_t double")
     got = {r.i: r.local_t for r in timeline.inverse(points, table, None, ["track", "i"]).collect()}
     assert all(abs(got[i] - w) < 1e-3 for i, w in enumerate((0, 0.25, 0.5, 5 / 6))) and got[4] is None
-    assert timeline.is_jump(lambda t: t + 0.5 * (t > 0.5), (0.499, 0.501), (0.499, 1.001), 0.01) is not None
-    assert timeline.is_jump(lambda t: 1 / (1 + math.exp(-400 * (t - 0.5))), (0.45, 0.55), (0.0, 1.0), 0.01) is None
+    d = F.lit
+    torn = timeline.jump(lambda t: t + F.when(t > 0.5, 0.5).otherwise(0.0), (d(0.499), d(0.501)), (d(0.499), d(1.001)), d(0.01))
+    steep = timeline.jump(lambda t: 1 / (1 + F.exp((t - 0.5) * -400.0)), (d(0.45), d(0.55)), (d(0.0), d(1.0)), d(0.01))
+    r = spark.range(1).select(torn.alias("torn"), steep.alias("steep")).first()
+    assert abs(r.torn.gap_start - 0.5) < 1e-6 and abs(r.torn.gap_end - 1.0) < 1e-6 and r.steep is None
 
 
 def test_alignment_end_to_end(spark):

@@ -75,7 +75,7 @@ def test_wav(spark, tmp_path):
     (tmp_path / "note.txt").write_text("no")
     h = wav.read_headers(spark, str(tmp_path)).collect()
     assert [(r.track, r.sample_rate, r.channels, r.frames, r.duration_seconds) for r in h] == [("a", 8000, 1, 1000, 0.125)]
-    got = wav.samples_of(wav.read_series(spark, str(tmp_path), chunk=300), 300).orderBy("idx").collect()
+    got = wav.samples_of(wav.read_series(spark, str(tmp_path), chunk=300)).orderBy("idx").collect()
     assert len(got) == 1000 and np.abs(np.array([r.v for r in got]) - x).max() < 1e-4
     with pytest.raises(wav.SeriesError):
         wav.header(b"RIFF0000WAVE")

@@ -47,12 +47,12 @@ def kalman(v):
 
 def test_states_of_every_event(spark, long_series):
     path, by = long_series
-    for name, which in (("kalman_forward_whole", 0), ("rts_smooth_whole", 1)):
+    for name, which in (("kalman_forward", 0), ("rts_smooth", 1)):
         got = {(r.track, r.n): (r.offset, r.rate, r.p00, r.p01, r.p11) for r in registry.QUERIES[name](spark, path).collect()}
         want = {(u, n): (*x, p[0, 0], p[0, 1], p[1, 1]) for u, v in by.items() for n, (x, p) in enumerate(kalman(v)[which])}
         assert set(got) == set(want)
         assert all(np.allclose(got[k], want[k], atol=2e-6) for k in want)
-    for r in registry.QUERIES["uncertainty_summary_whole"](spark, path).collect():
+    for r in registry.QUERIES["uncertainty_summary"](spark, path).collect():
         sd = [1e3 * p[0, 0] ** 0.5 for _, p in kalman(by[r.track])[0]]
         assert np.allclose((r.median_offset_std_ms, r.max_offset_std_ms), (np.median(sd), max(sd)), atol=2e-5)
 
