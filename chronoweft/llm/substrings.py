@@ -1,9 +1,13 @@
 """Substring dedup over sliding spans of sentences.
 
-Every run of several consecutive sentences is hashed: from each sentence the
-shortest run onwards, and to each sentence the shortest run up to it, that has
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words (a sentence of ``LONG_WORDS``
-words is a run by itself).  Runs are joined globally by hash; all but the first
+Every run of several consecutive sentences is covered by hashes: from each
+sentence the shortest run onwards, and to each sentence the shortest run up to
+it, that has ``min_sentences`` sentences and ``min_words`` words.  A longer run
+that repeats is the union of such runs, so nothing of it stays.  With
+``min_words`` zero every pair of neighbouring sentences counts; the default
+leaves alone what short sentences share by chance (without it, twice as many
+documents of the test tables are touched).  A sentence of ``long_words`` words is
+a run by itself: passages often come without a sentence's end.  Runs are joined globally by hash; all but the first
 occurrence, by document id and place, are repeated, and the sentences that a
 repeated run covers are removed.
 
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches, staged
+from .common import fresh_all, holding, release, small_batches, staged
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 50
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|\s*\n\s*")
@@ -42,7 +46,7 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(parts: list[str]) -> list[tuple[int, int, str]]:
+def runs(parts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, str]]:
     """(first sentence, last sentence, normalised text) of every run to hash."""
     words = [p.lower().split() for p in parts]
     sizes = [len(w) for w in words]
@@ -53,19 +57,19 @@ def runs(parts: list[str]) -> list[tuple[int, int, str]]:
     for i in range(n):  # shortest run onwards
         if not sizes[i]:
             continue
-        j = max(j, i + MIN_SENTENCES - 1)
-        while j < n and total[j + 1] - total[i] < MIN_WORDS:
+        j = max(j, i + min_sentences - 1)
+        while j < n and total[j + 1] - total[i] < min_words:
             j += 1
         if j < n:
             found.add((i, j))
-        if sizes[i] >= LONG_WORDS:
+        if sizes[i] >= long_words:
             found.add((i, i))
     i = n - 1
     for j in range(n - 1, -1, -1):  # shortest run up to
         if not sizes[j]:
             continue
-        i = min(i, j - MIN_SENTENCES + 1)
-        while i >= 0 and total[j + 1] - total[i] < MIN_WORDS:
+        i = min(i, j - min_sentences + 1)
+        while i >= 0 and total[j + 1] - total[i] < min_words:
             i -= 1
         if i >= 0:
             found.add((i, j))
@@ -73,8 +77,8 @@ def runs(parts: list[str]) -> list[tuple[int, int, str]]:
     return [(i, j, " ".join(flat[i : j + 1])) for i, j in sorted(found)]
 
 
-def hashed_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, first, last, h1, h2) of every run; ``h`` is the hash of the whole text."""
+def hashed_runs(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(id, h, first, last, h1, h2) of every run that ``how`` (see :func:`runs`) asks for; ``h`` is the hash of the whole text."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
     schema = base.drop("t").schema
@@ -86,7 +90,7 @@ def hashed_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         for b in batches:
             row, first, last, made = [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                found = runs(sentences(t))
+                found = runs(sentences(t), **how)
                 row.append(len(found))
                 first += [f for f, _, _ in found]
                 last += [e for _, e, _ in found]
@@ -103,19 +107,23 @@ def hashed_runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return base.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, spans) of the documents with repeated runs; spans are (first, last) sentence numbers."""
-    every = hashed_runs(docs, id, text)
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(id, h, spans) of the documents with repeated runs; spans are (first, last) sentence numbers.
+
+    Texts are cut and hashed once: the runs are a table of numbers.
+    """
+    every = staged(hashed_runs(docs, id, text, **how), "runs")
     # a null id comes after all others
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "first")
     shared = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
     shared = staged(shared, "shared")
     later = every.join(shared, ["h1", "h2"]).where(~place.eqNullSafe(F.col("origin")))
-    spans = later.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return staged(spans, "spans")
+    spans = staged(later.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
+    release(every, shared)
+    return spans
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Every row of ``docs``, its text without repeated sentences, and the columns
     ``n_sentences``, ``n_removed`` and ``removed`` (start:end of the removed runs
     of characters in the old text, code points, comma-joined).
@@ -127,12 +135,12 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keep = docs.columns
-    spans = repeated_spans(docs, id, text).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    key = F.xxhash64(F.col(text).cast("string"))
-    both = docs.withColumn("__key", key).join(spans, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
-    names = []
-    for n in ("n_sentences", "n_removed", "removed"):
-        names.append(fresh([*keep, *names], n))
+    found = repeated_spans(docs, id, text, **how)
+    names = fresh_all(keep, "n_sentences", "n_removed", "removed")
+    own, key, h, cut = fresh_all([*keep, *names], "id", "key", "h", "spans")
+    spans = found.select(F.col("id").alias(own), F.col("h").alias(key), F.col("spans").alias(cut))
+    both = docs.withColumn(h, F.xxhash64(F.col(text).cast("string")))
+    both = both.join(spans, F.col(id).eqNullSafe(F.col(own)) & (F.col(h) == F.col(key)), "left")
     schema = T.StructType([T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema])
     for n, kind in zip(names, (T.IntegerType(), T.IntegerType(), T.StringType())):
         schema = schema.add(n, kind)
@@ -158,10 +166,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(gone, pa.int32()), pa.array(removed, pa.string())], names=[*keep, *names])
 
     cols = [F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in keep]
-    return both.select(*cols, "__spans").mapInArrow(run, schema)
+    return holding(both.select(*cols, cut).mapInArrow(run, schema), found)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed, and the text that is left, of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    made = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return holding(made.select("doc_id", "n_sentences", "n_removed", "removed", "text"), made)

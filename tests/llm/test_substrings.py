@@ -1,23 +1,45 @@
+import random
+import re
+
+import pytest
+
 from chronoweft.llm import substrings as M
 
 P = "The first long sentence of a passage has quite a few words in it. The second one follows it and has nearly as many words. A third closes it here. "
 Q = "Another text begins with words that nobody else has ever used before now. It goes on for a while with more of its own words, and ends. "
 
 
-def brute(rows):
-    seen, out = set(), {}
+END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\s*\n\s*")
+
+
+def cut(text):
+    """Sentences, by another expression than the operator's."""
+    out, at = [], 0
+    for m in END.finditer(text):
+        if m.end() > at:
+            out.append(text[at : m.end()])
+            at = m.end()
+    return out + ([text[at:]] if text[at:] else [])
+
+
+def brute(rows, words=20):
+    """Every run of two or more sentences that has the words, and every single one of 50; no shortest ones."""
+    seen, out = {}, {}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     for i in order:
-        text = rows[i][1]
-        if text is None:
+        if rows[i][1] is None:
             out[i] = None
             continue
-        parts = M.sentences(text)
+        parts = cut(rows[i][1])
         drop = [False] * len(parts)
-        for a, b, s in M.runs(parts):
-            if s in seen:
-                drop[a : b + 1] = [True] * (b + 1 - a)
-            seen.add(s)
+        for a in range(len(parts)):
+            for b in range(a, len(parts)):
+                if not parts[a].split() or not parts[b].split():
+                    continue
+                run = tuple(" ".join(parts[a : b + 1]).lower().split())
+                if (b > a and len(run) >= words) or (a == b and len(run) >= 50):
+                    if seen.setdefault(run, (i, a)) != (i, a):
+                        drop[a : b + 1] = [True] * (b + 1 - a)
         out[i] = "".join(p for p, d in zip(parts, drop) if not d)
     return [out[i] for i in range(len(rows))]
 
@@ -52,3 +74,15 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, P), (1, P)], "doc_id long, text string")
     assert [r.text for r in M.dedup(df).collect()] == [P, P]
     assert M.dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [0, 8, 20])
+def test_random_documents_against_every_run(spark, words):
+    rnd = random.Random(words)
+    bits = [" ".join(rnd.choice("the of a in Cat dog runs far".split()) for _ in range(rnd.randint(1, 9))) + rnd.choice([". ", "! ", "\n", '." ', " "]) for _ in range(14)]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))) for i in range(60)] + [(90, "x y. " * 3000)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows[:60]], "doc_id long, text string, id int, key int, h int, spans int")
+    got = {r.doc_id: r.text for r in M.dedup(df, min_words=words).collect()}
+    assert [got[i] for i in range(60)] == brute(rows[:60], words)
+    (long,) = M.dedup(spark.createDataFrame([rows[60]], "doc_id long, text string")).collect()
+    assert long.n_sentences == 3000 and long.n_removed > 2900 and rows[60][1].startswith(long.text)
