@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import event_confidence, half_even
@@ -36,8 +36,8 @@ def shifted(samples: DataFrame, found: DataFrame, rate: float, track: str = "tra
     """
     cut, move = half_even(F.col("split_time") * F.lit(float(rate))), half_even(F.col("shift_seconds") * F.lit(float(rate)))
     lists = found.groupBy(track).agg(F.array_sort(F.collect_list(F.struct(F.col("match_id"), cut.alias("c"), move.alias("m")))).alias("shifts"))
-    w = Window.partitionBy(track)
-    rows = samples.withColumn("n", F.max("idx").over(w) + 1).join(lists, track, "left")
+    lengths = samples.groupBy(track).agg((F.max("idx") + 1).alias("n"))
+    rows = samples.join(lengths.join(lists, track, "left"), track)
     gone = F.lit(-1).cast("long")
 
     def step(at, s):
