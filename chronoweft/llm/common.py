@@ -5,7 +5,7 @@ under the shared folder that ``spark.checkpoint.dir`` names, so that a lost
 executor costs a re-read and not a recomputation.  Only where that setting is
 absent and executors share the driver's disk (tests, a laptop) a folder of our
 own is used.  Tables that later steps don't read are dropped as soon as they are
-done; those that a lazy result still reads go with :func:`release`.
+done; those that a lazy result still reads go with :func:`release`, or when the driver ends.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._tables = [path]
     return out

@@ -1,3 +1,7 @@
+import re
+import struct
+
+import xxhash
 import numpy as np
 
 from chronoweft.llm import mixing as M
@@ -51,3 +55,42 @@ def test_edges(spark):
     kept = M.keep_mixed(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
     assert M.mixed(docs.limit(0)).count() == 0
+
+
+def test_the_query_against_plain_python(spark):
+    """Tokens, targets, raking and draws of op5_mixing, from the texts alone but for the topics."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in M.op5_mixing(spark, DATA).collect()}
+    assert set(rows) == set(docs)
+    cells = {}
+    for i, d in docs.items():
+        n = len(re.findall(r"[^ \t\n\x0b\x0c\r]+", d.text or ""))
+        assert rows[i].n_tokens == n and (rows[i].source, rows[i].lang) == (d.source, d.lang) and 0 <= rows[i].topic < M.TOPICS
+        key = (d.source, d.lang, rows[i].topic)
+        cells[key] = cells.get(key, 0) + n
+    total = sum(cells.values())
+    targets = []
+    for m in range(3):
+        sums = {}
+        for k, n in cells.items():
+            sums[k[m]] = sums.get(k[m], 0) + n
+        raised = {v: (n / total) ** 0.7 for v, n in sums.items()}
+        targets.append({v: x / sum(raised.values()) * total / 2 for v, x in raised.items()})
+    p = dict.fromkeys(cells, 0.5)
+    for _ in range(200):
+        for m in range(3):
+            have = {}
+            for k, n in cells.items():
+                have[k[m]] = have.get(k[m], 0) + p[k] * n
+            p = {k: min(1.0, x * targets[m][k[m]] / have[k[m]]) for k, x in p.items()}
+    for i, r in rows.items():
+        assert abs(r.probability - p[r.source, r.lang, r.topic]) < 1e-4
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 17), xxhash.xxh64_intdigest(str(i).encode(), 42))
+        assert r.kept == ((h >> 11) / 2**53 < r.probability)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"some words {i} and more", "xy"[i % 2], "en", "a", "b", "c", "d") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, __h string, __id string, id string, text_hash string")
+    kept = M.keep_mixed(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} < set(rows)

@@ -81,7 +81,7 @@ def test_random_documents_against_every_run(spark, words):
     rnd = random.Random(words)
     bits = [" ".join(rnd.choice("the of a in Cat dog runs far".split()) for _ in range(rnd.randint(1, 9))) + rnd.choice([". ", "! ", "\n", '." ', " "]) for _ in range(14)]
     rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))) for i in range(60)] + [(90, "x y. " * 3000)]
-    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows[:60]], "doc_id long, text string, id int, key int, h int, spans int")
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows[:60]], "doc_id long, text string, __h int, __key int, h int, spans int")
     got = {r.doc_id: r.text for r in M.dedup(df, min_words=words).collect()}
     assert [got[i] for i in range(60)] == brute(rows[:60], words)
     (long,) = M.dedup(spark.createDataFrame([rows[60]], "doc_id long, text string")).collect()
