@@ -124,7 +124,14 @@ def fallback_cap(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", S.micro("c.cap").alias("cap"), "c.memory_limited")
 
 
-@query()
+@query(f"""WITH {_LAGS}, nb AS (SELECT *, lag(score) OVER w AS p, lead(score) OVER w AS n FROM sc WINDOW w AS (PARTITION BY vec_id ORDER BY lag)), pk AS (SELECT * FROM nb WHERE p IS NULL OR n IS NULL OR (score > p AND score > n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, lag) AS k FROM pk), b AS (SELECT vec_id, score AS best, lag AS bl FROM r WHERE k = 1),
+o AS (SELECT r.vec_id, max(r.score) AS second FROM r JOIN b ON b.vec_id = r.vec_id WHERE abs(r.lag - bl) > 3 GROUP BY r.vec_id),
+m AS (SELECT sc.vec_id, best, bl, max(lag) AS top, min(score) FILTER (lag <= bl) AS lm, min(score) FILTER (lag >= bl) AS rm, min(score) AS mn FROM sc JOIN b ON b.vec_id = sc.vec_id GROUP BY ALL),
+h AS (SELECT *, bl > 0 AND bl < top AS inside, CASE WHEN bl > 0 AND bl < top THEN best - greatest(lm, rm) ELSE best - mn END AS prom FROM m), v AS (SELECT *, best - prom / 2 AS level FROM h),
+lc AS (SELECT v.vec_id, max(nb.lag) AS a FROM v JOIN nb ON nb.vec_id = v.vec_id AND nb.lag < bl AND score < level GROUP BY v.vec_id), rc AS (SELECT v.vec_id, min(nb.lag) AS a FROM v JOIN nb ON nb.vec_id = v.vec_id AND nb.lag > bl AND score < level GROUP BY v.vec_id),
+wd AS (SELECT v.*, coalesce(bl - x.lag - (level - x.score) / (x.n - x.score), bl) AS lw, coalesce(y.lag - bl - (level - y.score) / (y.p - y.score), top - bl) AS rw FROM v LEFT JOIN lc ON lc.vec_id = v.vec_id LEFT JOIN nb x ON x.vec_id = v.vec_id AND x.lag = lc.a LEFT JOIN rc ON rc.vec_id = v.vec_id LEFT JOIN nb y ON y.vec_id = v.vec_id AND y.lag = rc.a)
+SELECT wd.vec_id, bl AS best_lag, {M('best')} AS best_score, {M('best - second')} AS margin, {M('prom')} AS prominence, {M('CASE WHEN inside AND prom > 0 THEN lw + rw ELSE 0 END')} AS width_samples FROM wd LEFT JOIN o ON o.vec_id = wd.vec_id""")
 def peak_prominence(spark, sf_dir):
     """Best peak of the vectors' correlations with height, prominence and width, on the numeric kernels."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
