@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import AnchorMatching, OffsetSafety
 from ..functions import scalar as S
-from ..functions.signal import gcc_phat, ncc, peak_report
+from ..functions.signal import gcc_phat, ncc, peak_report, resample, resample_reach
 
 PEAK = "struct<best_score:double,best_lag:bigint,second_score:double,second_lag:bigint,margin:double,prominence:double,width_samples:double,plateau_samples:double>"
 #: Scores this close to the best count as equal; the earliest of them is taken.
@@ -79,6 +79,28 @@ def chunked(samples: DataFrame, size: int, track: str = "track") -> DataFrame:
     return rows.groupBy(track, "chunk").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("values"))
 
 
+def resampled(chunks: DataFrame, size: int, source: int, target: int, track: str = "track") -> DataFrame:
+    """(track, chunk, first, values): chunks of ``size`` samples at another rate, ``first`` being the number of a
+    chunk's first sample.  Each chunk gets what the filter needs of its neighbours, and no more travels."""
+    reach = resample_reach(source, target)
+    edge = lambda part, step, name: chunks.select(track, (F.col("chunk") + step).alias("chunk"), part.alias(name))
+    tail = F.slice("values", F.greatest(F.size("values") - reach + 1, F.lit(1)), F.lit(max(reach, 1)))
+    rows = chunks.join(edge(tail, 1, "before"), [track, "chunk"], "left").join(edge(F.slice("values", F.lit(1), F.lit(max(reach, 1))), -1, "after"), [track, "chunk"], "left")
+
+    @F.pandas_udf("struct<first:bigint,values:array<double>>")
+    def run(chunk: pd.Series, before: pd.Series, own: pd.Series, after: pd.Series) -> pd.DataFrame:
+        none, out = np.empty(0), []
+        for k, b, x, z in zip(chunk, before, own, after):
+            b, z = (none if v is None else v for v in (b, z))
+            i = int(k) * size
+            first, made = resample(np.concatenate((b, x, z)), source, target, (i - len(b), i, i + len(x)))
+            out.append((first, np.asarray(made, float)))
+        return pd.DataFrame(out, columns=["first", "values"])
+
+    made = rows.select(track, "chunk", run("chunk", "before", "values", "after").alias("r"))
+    return made.select(track, "chunk", "r.first", "r.values")
+
+
 def windows(chunks: DataFrame, asked: DataFrame, size: int, key: list[str], track: str = "track", out: str = "samples") -> DataFrame:
     """``asked`` (i0, i1 inclusive) with the samples of each span and ``first``, the position of the first one.
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnchorMatching, AnchorSelection, DriftModel, OffsetSafety
 from ..functions import scalar as S
-from ..functions.signal import ncc, peak_report, resample
+from ..functions.signal import ncc, peak_report
 from ..sources.staging import removed, written
 from ..operators import activity, anchors, correlate, drift, local_adjust, nonlinear, render, report, series
 
@@ -70,31 +70,50 @@ class Alignment:
             removed(self.segments.sparkSession, path)
 
 
-def coarse_offset(rate: int, cfg: OffsetSafety):
-    """Column function (local, reference) -> (offset, confidence, score, margin) of the whole recordings at a low rate."""
-    kind = "struct<offset_seconds:double,confidence:double,score:double,margin:double>"
+COARSE = "track {}, offset_seconds double, confidence double, score double, margin double"
 
-    def one(local, ref):
-        low = min(rate, cfg.coarse_fallback_sample_rate)
-        a, b = (resample(np.asarray(x, float), rate, low) for x in (local, ref))
-        if a.size < 2 or b.size < 2:
-            return (None,) * 4
-        a, b = a - a.mean(), b - b.mean()
-        n, least = a.size, max(1, a.size // 4)
-        scores = ncc(np.concatenate((np.zeros(n - 1), b, np.zeros(n - least))), a)
-        lag = np.arange(scores.size) - (n - 1)
-        common = np.minimum(n, b.size - lag) - np.maximum(0, -lag)
-        p = peak_report(np.where(common >= least, scores, -1.0), max(1, int(np.rint(0.05 * low))))
-        if p is None or p["best_score"] < correlate.LEAST_SCORE:
-            return (None,) * 4
-        margin = p["prominence"] if p["margin"] is None else p["margin"]
-        return float(lag[p["best_lag"]]) / low, min(1.0, max(0.0, (p["best_score"] + 1) / 2)), p["best_score"], margin
 
-    def run(local: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        rows = [one(a, b) if a is not None and b is not None else (None,) * 4 for a, b in zip(local, ref)]
-        return pd.DataFrame(rows, columns=["offset_seconds", "confidence", "score", "margin"], dtype=float)
+def coarse_offset(a: np.ndarray, b: np.ndarray, rate: int) -> tuple:
+    """(offset, confidence, score, margin) of a whole recording ``a`` on a reference ``b``; nulls if they don't match."""
+    if a.size < 2 or b.size < 2:
+        return (None,) * 4
+    a, b = a - a.mean(), b - b.mean()
+    n, least = a.size, max(1, a.size // 4)
+    scores = ncc(np.concatenate((np.zeros(n - 1), b, np.zeros(n - least))), a)
+    lag = np.arange(scores.size) - (n - 1)
+    common = np.minimum(n, b.size - lag) - np.maximum(0, -lag)
+    p = peak_report(np.where(common >= least, scores, -1.0), max(1, int(np.rint(0.05 * rate))))
+    if p is None or p["best_score"] < correlate.LEAST_SCORE:
+        return (None,) * 4
+    margin = p["prominence"] if p["margin"] is None else p["margin"]
+    return float(lag[p["best_lag"]]) / rate, min(1.0, max(0.0, (p["best_score"] + 1) / 2)), p["best_score"], margin
 
-    return F.pandas_udf(run, kind)
+
+def _coarse(asked: DataFrame, chunks: DataFrame, ref_chunks: DataFrame, rate: int, low: int, keep) -> DataFrame:
+    """The coarse offset of every track of ``asked`` (track, local_seconds, master_seconds: how much to use), one at a time.
+
+    Chunks are resampled where they lie; only the low rate is put together.
+    """
+    small = F.floor(F.col("chunk") * CHUNK / F.lit(float(rate)))  # seconds before a chunk
+    local = correlate.resampled(chunks.join(asked.select("track", "local_seconds"), "track").where(small <= F.col("local_seconds")).select("track", "chunk", "values"), CHUNK, rate, low)
+    ref = keep(correlate.resampled(ref_chunks, CHUNK, rate, low))
+    last = F.floor(F.col("master_seconds") * F.lit(float(rate)) / CHUNK).cast("long")
+    wanted = asked.select("track", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    both = local.withColumn("side", F.lit(0)).unionByName(wanted.join(ref.drop("track"), "chunk").withColumn("side", F.lit(1)))
+    rows = both.join(asked, "track").select("track", "side", "first", "values", "local_seconds", "master_seconds")
+    kind = asked.schema["track"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("first", "ascending")])
+        side = table["side"].to_numpy()
+        parts = table["values"].combine_chunks()
+        n = [int(table[c][0].as_py() * low) for c in ("local_seconds", "master_seconds")]
+        a, b = (np.asarray(parts.filter(pa.array(side == k)).flatten().to_numpy(zero_copy_only=False))[: n[k]] for k in (0, 1))
+        made = coarse_offset(a, b, low)
+        names = ["offset_seconds", "confidence", "score", "margin"]
+        return pa.table({"track": table["track"].slice(0, 1).combine_chunks(), **{c: pa.array([v], pa.float64()) for c, v in zip(names, made)}})
+
+    return rows.groupBy("track").applyInArrow(run, COARSE.format(kind.simpleString()))
 
 
 def _safe_offsets(estimates: DataFrame, tracks: DataFrame, chunks: DataFrame, ref_chunks: DataFrame, rate: int, cfg: OffsetSafety, keep) -> DataFrame:
@@ -107,13 +126,10 @@ def _safe_offsets(estimates: DataFrame, tracks: DataFrame, chunks: DataFrame, re
     known = F.col("known")
     weak = base.where(F.lit(cfg.coarse_fallback_enabled) & (known < cfg.initial_offset_min_confidence))
     cap = S.fallback_cap("total", "master_total", cfg)
-    last = lambda total: (F.least(F.col(total), F.coalesce("cap.cap", F.col(total))) * rate).cast("long") - 1
-    asked = weak.withColumn("cap", cap).select("track", "cap", last("total").alias("l1"), last("master_total").alias("m1"))
-    zero = F.lit(0).cast("long")
-    local = correlate.windows(chunks, asked.select("track", zero.alias("i0"), F.col("l1").alias("i1")), CHUNK, ["track"], out="local")
-    wanted = asked.select(F.col("track").alias("asker"), F.lit("ref").alias("track"), zero.alias("i0"), F.col("m1").alias("i1"))
-    ref = correlate.windows(ref_chunks, wanted, CHUNK, ["asker"], out="ref").select(F.col("asker").alias("track"), "ref")
-    tried = local.select("track", "local").join(ref, "track").select("track", coarse_offset(rate, cfg)("local", "ref").alias("c"))
+    used = lambda total: F.least(F.col(total), F.coalesce("cap.cap", F.col(total)))
+    asked = keep(weak.withColumn("cap", cap).select("track", "cap", used("total").alias("local_seconds"), used("master_total").alias("master_seconds")))
+    found = _coarse(asked.drop("cap"), chunks, ref_chunks, rate, min(rate, cfg.coarse_fallback_sample_rate), keep)
+    tried = found.select("track", F.struct("offset_seconds", "confidence", "score", "margin").alias("c"))
     both = base.join(tried.join(asked.select("track", F.col("cap.memory_limited").alias("limited")), "track"), "track", "left")
     accepted = F.coalesce(S.fallback_accepted("c.confidence", "c.margin", known, cfg), F.lit(False))
     both = keep(both.withColumn("fallback_selected", accepted))
@@ -186,7 +202,7 @@ def align(samples: DataFrame, reference: DataFrame, options: Options | None = No
     # an empty list is as good as none: activity may have been missed on a quiet reference
     filtered, heard = o.safety.master_vad_filter_enabled, not active.isEmpty()
     if filtered and not heard and o.safety.master_vad_uncertain_policy == "reject":
-        asked = near.crossJoin(F.broadcast(master_total)).withColumn("expected", expected).withColumn("clip_seconds", F.size("clip") / F.lit(float(rate)))  # one row of the reference
+        asked = near.join(tracks.select("track", "master_total"), "track").withColumn("expected", expected).withColumn("clip_seconds", F.size("clip") / F.lit(float(rate)))
         matches = correlate.unmatched(asked, "master_total", key)
     else:
         near = near.withColumn("asker", F.col("track")).withColumn("track", F.lit("ref"))

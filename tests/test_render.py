@@ -178,3 +178,29 @@ def test_progress_and_time_left():
     assert p.step("a") == (25.0, 6.0)
     now[0] = 3.0
     assert p.step("b", 3) == (100.0, 0.0) and p.step("c") == (100.0, 0.0) and len(lines) == 3 and math.isclose(p.done, 4)
+
+
+def test_chunks_are_resampled_where_they_lie(spark):
+    from chronoweft.functions.signal import resample
+
+    r = np.random.default_rng(5)
+    for source, target in ((800, 300), (500, 500), (300, 700)):
+        x = {n: r.standard_normal(k) for n, k in (("a", 1000), ("b", 257))}
+        rows = spark.createDataFrame([(n, i, float(v)) for n, s in x.items() for i, v in enumerate(s)], "track string, idx long, v double")
+        made = {}
+        for row in correlate.resampled(correlate.chunked(rows, 128), 128, source, target).collect():
+            made.setdefault(row.track, {}).update({row.first + k: v for k, v in enumerate(row["values"])})
+        for n, s in x.items():
+            want = resample(s, source, target)
+            assert sorted(made[n]) == list(range(len(want))) and np.allclose([made[n][i] for i in range(len(want))], want, atol=1e-9)
+
+
+def test_coarse_offset_of_whole_recordings(spark):
+    r = np.random.default_rng(6)
+    rate, low = 800, 200
+    ref = np.cumsum(r.standard_normal(16_000)) * 0.01
+    far = spark.createDataFrame([("ref", i, float(v)) for i, v in enumerate(ref)], "track string, idx long, v double")
+    near = spark.createDataFrame([(n, i, float(v)) for n, at in (("x", 2400), ("y", 4800)) for i, v in enumerate(ref[at : at + 6400])], "track string, idx long, v double")
+    asked = spark.createDataFrame([("x", 8.0, 20.0), ("y", 8.0, 20.0)], "track string, local_seconds double, master_seconds double")
+    got = {c.track: c for c in alignment._coarse(asked, correlate.chunked(near, alignment.CHUNK), correlate.chunked(far, alignment.CHUNK), rate, low, staged).collect()}
+    assert abs(got["x"].offset_seconds - 3.0) < 0.01 and abs(got["y"].offset_seconds - 6.0) < 0.01 and got["x"].confidence > 0.9
