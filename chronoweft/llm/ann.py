@@ -26,9 +26,8 @@ from .vectors import lists, matrix, usable, usual_size
 
 #: Centroids of a half, vectors that the codebooks are fitted on, k-means rounds.
 CENTROIDS, SAMPLE, ROUNDS = 64, 20_000, 10
-#: Share of all rows whose cells are visited: on vectors without any structure
-#: this gives a recall of about 0.95 (see the tests).
-PROBE = 0.45
+#: Recall that the share of visited rows is set for, and the sampled vectors that it is measured with.
+TARGET, ASKED = 0.96, 200
 #: Rows of a block, and queries of a chunk, at most about.
 BLOCK_ROWS, CHUNK = 8192, 4096
 TOP, EVERY = 10, 100
@@ -91,6 +90,34 @@ class Codebooks:
         return out
 
 
+def probe_for(books: Codebooks, sample: np.ndarray, target: float, top: int) -> float:
+    """The share of rows that a query must visit to find ``target`` of its ``top`` nearest, as measured on the sample.
+
+    The neighbours of ``ASKED`` sampled vectors are found by brute force; each is
+    reached once the cells up to its own are visited.  All rows lie closer
+    together than the sample's do, so the share is rather too large.  Vectors
+    with structure need a small share, vectors without any nearly half.
+    """
+    if len(sample) < 2:
+        return 1.0
+    cells = books.cells(sample)
+    sizes = np.bincount(cells, minlength=len(books.first) * len(books.second))
+    square = (sample * sample).sum(1)
+    reached = []
+    for i in np.unique(np.linspace(0, len(sample) - 1, ASKED).astype(int)):
+        q = sample[i]
+        d = square - 2 * sample @ q
+        d[i] = np.inf
+        k = min(top, len(sample) - 1)
+        near = np.argpartition(d, k - 1)[:k]
+        a, b = books.halves(q[None])
+        order = np.argsort((((books.first - a) ** 2).sum(1)[:, None] + ((books.second - b) ** 2).sum(1)[None]).ravel(), kind="stable")
+        share = np.empty(len(order))
+        share[order] = np.cumsum(sizes[order]) / len(sample)
+        reached.append(share[cells[near]])
+    return float(np.quantile(np.concatenate(reached), target))
+
+
 def pack(sizes: np.ndarray, most: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """For every cell its first block, and the number of blocks that it is split over."""
     first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
@@ -129,7 +156,8 @@ def search(
     every: int = EVERY,
     top: int = TOP,
     centroids: int = CENTROIDS,
-    probe: float = PROBE,
+    probe: float | None = None,
+    target: float = TARGET,
     block_rows: int = BLOCK_ROWS,
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -141,7 +169,8 @@ def search(
     empty, zero, of another length than most, or hold null or non-finite
     components take no part, nor do rows without an id.  Rows that repeat count
     once; a table without queries or candidates gives no rows; other columns are
-    not read.
+    not read.  A query visits the cells of the share ``probe`` of all rows; if it
+    is not given, of as many as ``target``, a recall, needs on the sample.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -153,7 +182,9 @@ def search(
         return spark.createDataFrame([], schema)
     good = good.where(F.size("v") == dim)
     sample = hashed_sample(good, F.col("id"), SAMPLE).toArrow().sort_by("id")
-    books = Codebooks(matrix(sample["v"], dim), centroids)
+    known = matrix(sample["v"], dim)
+    books = Codebooks(known, centroids)
+    probe = probe_for(books, known, target, top) if probe is None else probe
     held = spark.sparkContext.broadcast(books)
 
     def assign(batches):
