@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, fresh_all, holding, min_labels, small_batches, staged
+from .common import components, fresh, fresh_all, holding, min_labels, release, small_batches, staged
 
 SEED = 42
 SHINGLE = 4
@@ -158,12 +158,14 @@ def near_links(distinct: DataFrame, k: int = MAX_BITS) -> DataFrame:
     return keyed.repartition(parts, "key").mapInArrow(run, "u long, v long")
 
 
-#: Salts of the join that gives a component's rows its first place.
-SALTS = 16
+#: Salts of the join that gives a component's fingerprints its first place, and the
+#: part of all rows from which a fingerprint is sent to the rows and not dealt out
+#: with them: so there are at most ``HOT`` of these.
+SALTS, HOT = 16, 1000
 
 
 def _grouped(docs: DataFrame, id: str, text: str, k: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(id, th, fp) of every row, and for every fingerprint (fp, low): the first row of its component.
+    """(id, th, fp) of every row, and for every fingerprint (fp, n, low): its rows, and the first row of its component.
 
     ``low`` is the smallest (no id, id, hash of the text), so rows without an id come last.
     """
@@ -171,7 +173,7 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, shingle: int) -> tuple
     base = docs.select(F.col(id).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
     made = staged(fingerprints(base, "text", shingle), "simhash")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
-    distinct = made.groupBy("fp").agg(F.min(place).alias("low"))
+    distinct = made.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("low"))
     comp = components(near_links(distinct.select("fp"), k))
     linked = distinct.join(comp, F.col("fp") == F.col("node"))
     # Nodes are linked to their root; the root itself has no row in comp.
@@ -181,8 +183,9 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, shingle: int) -> tuple
     spread = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     moved = comp.select(F.col("node").alias("fp"), "root").unionByName(lows.select(F.col("root").alias("fp"), "root"))
     moved = moved.withColumn("salt", salt).join(spread, ["root", "salt"]).select("fp", "first")
-    by_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("first", "low").alias("low"))
-    return made, holding(by_fp, made, comp)
+    by_fp = staged(distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("first", "low").alias("low")), "groups")
+    release(comp)
+    return made, holding(by_fp, made, by_fp)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -195,7 +198,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     Other columns are not read.  An empty table gives an empty result.
     """
     made, by_fp = _grouped(docs, id, text, k, shingle)
-    return holding(made.join(by_fp, "fp").select(F.col("id").alias(id), "fp", F.col("low.id").alias("component_id")), by_fp)
+    is_hot = F.col("n") * HOT >= made.count()
+    groups = by_fp.select("fp", F.col("low.id").alias("component_id"), F.lit(True).alias("known"), is_hot.alias("hot"))
+    # the fingerprint of a large group of copies is one row, and its rows stay where they are
+    first = made.join(F.broadcast(groups.where("hot").drop("hot")), "fp", "left")
+    rest = first.where("known IS NULL").select("id", "fp").join(groups.where("NOT hot"), "fp")
+    out = first.where("known").select("id", "fp", "component_id").unionByName(rest.select("id", "fp", "component_id"))
+    return holding(out.select(F.col("id").alias(id), "fp", "component_id"), by_fp)
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
