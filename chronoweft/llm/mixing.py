@@ -9,6 +9,7 @@ beyond that.
 
 Topics are clusters of hashed-word vectors around their language's mean, fitted
 on all texts from centres of a bounded sample, unless the documents have a topic column of their own.
+Texts are read once; the rounds and the assignment read the table of vectors made then.
 """
 
 from __future__ import annotations
@@ -38,20 +39,25 @@ _STEPS = 2.0**24
 MARGINS = ("source", "lang", "topic")
 
 
-def _sparse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of the unit vector of hashed word counts, damped by logarithms."""
+def _vector(words: list[bytes]) -> np.ndarray:
+    """The unit vector of hashed word counts, damped by logarithms."""
     c = Counter(words)
     at = np.fromiter(map(zlib.crc32, c), np.int64, len(c)) % DIMS
     full = np.bincount(at, 1 + np.log(np.fromiter(c.values(), np.float64, len(c))), DIMS).astype(np.float32)
-    slot = np.flatnonzero(full)
-    return slot, full[slot] / max(np.linalg.norm(full), np.float32(1e-12))
+    return full / max(np.linalg.norm(full), np.float32(1e-12))
 
 
-def _vector(words: list[bytes]) -> np.ndarray:
-    """The same vector with all its zeros."""
-    out = np.zeros(DIMS, np.float32)
-    slot, value = _sparse(words)
-    out[slot] = value
+def _packed(z: np.ndarray) -> tuple[bytes, bytes]:
+    """A bit for each slot, set where ``z`` is not zero, and the values there: plain bytes, which Spark moves as they are."""
+    used = z != 0
+    return np.packbits(used).tobytes(), z[used].tobytes()
+
+
+def _dense(bits: list[bytes | None], values: list[bytes | None]) -> np.ndarray:
+    """The vectors of :func:`_packed`, one a row; zero where there is none."""
+    out = np.zeros((len(bits), DIMS), np.float32)
+    used = np.unpackbits(np.frombuffer(b"".join(x or bytes(DIMS // 8) for x in bits), np.uint8)).view(bool)
+    out[used.reshape(out.shape)] = np.frombuffer(b"".join(x or b"" for x in values), np.float32)
     return out
 
 
@@ -62,31 +68,53 @@ class Topics:
     centres: np.ndarray
     means: dict
 
-    def of(self, words: list[bytes], lang) -> int:
-        z = _vector(words) - self.means.get(lang, self.means[None])
-        return int(np.argmax(self.centres @ z))
+    def of(self, z: np.ndarray, lang) -> int:
+        return int(np.argmax(self.centres @ (z - self.means.get(lang, self.means[None]))))
+
 
+def facts(docs: DataFrame, text: str, lang: str, vectors: bool = True, **also: Column) -> DataFrame:
+    """(``also``, h, lang, n_tokens) of every row, and (s, w) with ``vectors``: all that is taken from the texts, in one pass.
 
-def vectors(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(l, h, s, w): language, hash of the text, slots and values of the vector of every row that has a text."""
+    Tokens are words between ASCII white space; h is a hash of the text, (s, w)
+    the text's vector by :func:`_packed`, null without a text.
+    """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    base = base.select("l", F.xxhash64("t").alias("h"), "t")
+    t = F.col(text).cast("string")
+    base = docs.select(
+        *(c.alias(name) for name, c in also.items()), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), F.col(lang).cast("string").alias("lang"), t.alias("t")
+    )
+    schema = base.drop("t").schema.add("n_tokens", T.LongType())
+    if vectors:
+        schema = schema.add("s", T.BinaryType()).add("w", T.BinaryType())
+    names = schema.names
 
     def run(batches):
         for b in batches:
-            made = [_sparse(t.lower().split()) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            slots = pa.array([x.astype(np.int16) for x, _ in made], pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), slots, pa.array([x for _, x in made], pa.list_(pa.float32()))], names=["l", "h", "s", "w"])
+            *given, t = b.columns
+            words = [None if x is None else x.lower().split() for x in t.cast(pa.binary()).to_pylist()]
+            columns = [*given, pa.array([len(x or ()) for x in words], pa.int64())]
+            if vectors:
+                made = [(None, None) if x is None else _packed(_vector(x)) for x in words]
+                columns += [pa.array([x[i] for x in made], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return base.mapInArrow(run, schema)
 
-    return base.mapInArrow(run, "l string, h long, s array<smallint>, w array<float>")
 
+def placed(rows: DataFrame, topics: Topics) -> DataFrame:
+    """``rows`` of :func:`facts` with the topic nearest to each vector, and without the vectors."""
+    held = rows.sparkSession.sparkContext.broadcast(topics)
+    schema = rows.drop("s", "w").schema.add("topic", T.IntegerType())
+    names, at = schema.names, schema.names.index("lang")
 
-def _dense(slots: pa.Array, values: pa.Array) -> np.ndarray:
-    out = np.zeros((len(slots), DIMS), np.float32)
-    row = np.repeat(np.arange(len(slots)), slots.value_lengths().to_numpy(zero_copy_only=False))
-    out[row, slots.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
-    return out
+    def run(batches):
+        fitted = held.value
+        for b in batches:
+            *given, s, w = b.columns
+            topic = [fitted.of(z, x) for z, x in zip(_dense(s.to_pylist(), w.to_pylist()), b.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(topic, pa.int32())], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _centred(z: np.ndarray, langs: list, means: dict) -> np.ndarray:
@@ -97,7 +125,7 @@ def _centred(z: np.ndarray, langs: list, means: dict) -> np.ndarray:
 
 
 def _totals(rows: DataFrame, made) -> dict:
-    """{key: (n, sum)} over all ``rows`` of :func:`vectors`; ``made(langs, z)`` gives a batch's keys and vectors.
+    """{key: (n, sum)} over all ``rows`` (lang, s, w); ``made(langs, z)`` gives a batch's keys and vectors.
 
     Each task sums its rows, then each key's sums are added up, so the driver
     gets one row a key.  Values count in steps of 2**-24: such sums are exact,
@@ -119,7 +147,7 @@ def _totals(rows: DataFrame, made) -> dict:
         for b in batches:
             if b.num_rows:
                 langs = b.column(0).to_pylist()
-                keys, z = made(langs, _dense(b.column(1), b.column(2)))
+                keys, z = made(langs, _dense(b.column(1).to_pylist(), b.column(2).to_pylist()))
                 names = list(dict.fromkeys(keys))
                 number = {k: i for i, k in enumerate(names)}
                 member = np.zeros((len(names), len(keys)))
@@ -137,7 +165,7 @@ def _totals(rows: DataFrame, made) -> dict:
         yield out(held)
 
     kind = "key string, n long, total binary"
-    got = rows.select("l", "s", "w").mapInArrow(part, kind).repartition("key").mapInArrow(join, kind).collect()
+    got = rows.select("lang", "s", "w").mapInArrow(part, kind).repartition("key").mapInArrow(join, kind).collect()
     return {r.key: (r.n, np.frombuffer(bytes(r.total), np.int64) / _STEPS) for r in got}
 
 
@@ -148,16 +176,23 @@ def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
     order of their hashes; each round then passes over all vectors.  Held on the
     driver and broadcast: one mean for each language, and the centres.
     """
-    every = staged(vectors(docs, text, lang), "vectors")
+    rows = staged(facts(docs, text, lang), "vectors")
+    fitted = _fitted(rows, topics, sample)
+    release(rows)
+    return fitted
+
+
+def _fitted(rows: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
+    """:func:`fit_topics` from the rows of :func:`facts`, a table."""
+    every = rows.where("s IS NOT NULL").select("lang", "h", "s", "w")
     sums = _totals(every, lambda langs, z: (langs, z))
     n = sum(x[0] for x in sums.values())
     if not n:
-        release(every)
         return Topics(np.zeros((1, DIMS), np.float32), {None: np.zeros(DIMS, np.float32)})
     means = {k: (total / m).astype(np.float32) for k, (m, total) in sums.items() if k is not None}
     means[None] = (sum(total for _, total in sums.values()) / n).astype(np.float32)
     got = hashed_sample(every, F.col("h"), sample).toArrow()
-    langs, z = got["l"].to_pylist(), _dense(got["s"].combine_chunks(), got["w"].combine_chunks())
+    langs, z = got["lang"].to_pylist(), _dense(got["s"].to_pylist(), got["w"].to_pylist())
     order = np.lexsort((*z.T[:4], got["h"].to_numpy(), [str(x) for x in langs]))
     z = _centred(z[order], [langs[i] for i in order], means)
     centres = z[np.linspace(0, len(z) - 1, min(topics, len(z))).astype(int)].copy()
@@ -172,39 +207,9 @@ def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
             centres[int(k)] = total / max(np.linalg.norm(total), 1e-12)
         if np.array_equal(before, centres):
             break
-    release(every)
     return Topics(centres.astype(np.float32), means)
 
 
-def facts(docs: DataFrame, topics: Topics | None, id: str, text: str, source: str, lang: str, topic: str | None) -> DataFrame:
-    """(id, h, source, lang, topic, n_tokens) of every row; tokens are words between ASCII white space."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(topics)
-    given = F.col(topic).cast("int") if topic else F.lit(None).cast("int")
-    base = docs.select(
-        F.col(id).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"),
-        F.col(source).cast("string").alias("source"),
-        F.col(lang).cast("string").alias("lang"),
-        given.alias("topic"),
-        F.col(text).cast("string").alias("t"),
-    )
-    schema = base.drop("t").schema.add("n_tokens", T.LongType())
-    names = schema.names
-
-    def run(batches):
-        fitted = held.value
-        for b in batches:
-            words = [(t or b"").lower().split() for t in b.column(5).cast(pa.binary()).to_pylist()]
-            topic = b.column(4)
-            if fitted is not None:
-                topic = pa.array([fitted.of(w, x) for w, x in zip(words, b.column(3).to_pylist())], pa.int32())
-            n = pa.array(list(map(len, words)), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), topic, n], names=names)
-
-    return base.mapInArrow(run, schema)
-
-
 def tempered(shares: dict, power: float = TEMPERATURE) -> dict:
     """Target shares: each share to ``power``, then made to sum to one."""
     raised = {k: v**power for k, v in shares.items() if v > 0}
@@ -308,8 +313,13 @@ def mixed(
     as they go.
     """
     targets = targets or {m: TEMPERATURE for m in MARGINS}
-    fitted = None if topic else fit_topics(docs, text, lang)
-    rows = staged(facts(docs, fitted, id, text, source, lang, topic), "facts")
+    own = {"id": F.col(id), "source": F.col(source).cast("string")}
+    if topic:
+        rows = staged(facts(docs, text, lang, False, **own, topic=F.col(topic).cast("int")), "facts")
+    else:
+        read = staged(facts(docs, text, lang, **own), "vectors")
+        rows = staged(placed(read, _fitted(read)), "facts")
+        release(read)
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = staged(cells, "cells")
     raked = p = probabilities(cells, targets, keep_share, max_cells)
